@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,20 @@ def work_path(spark: SparkSession, what: str) -> str:
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width, which the operator of the cluster sizes to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in every Python worker, wherever the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="quillspan-code-")) / "quillspan.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(at))
+    _SHIPPED.add(context.applicationId)
