@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillspan.session import cut
+
 #: Letters of other scripts that print like a Latin letter.
 LOOK_ALIKES = {
     "АВЕЅІЈКМНОРСТУХһԁԛԝ": "ABESIJKMHOPCTYXhdqw",
@@ -189,7 +191,7 @@ def pairs_alike(rows: DataFrame, key: str, text: str, within: list[str]) -> Data
     Digests alone are shuffled.  Groups of one spelling are dropped before the join, so exact
     copies, however many, meet nothing; between different spellings every pair is a result.
     """
-    marked = look_alikes(rows, key, text, within).filter("look is not null")
+    marked = cut(look_alikes(rows, key, text, within).filter("look is not null"))
     by = [*within, "look"]
     varied = marked.groupBy(*by).agg(F.min("letters").alias("l"), F.max("letters").alias("m")).filter("l <> m").select(*by)
     kept = marked.join(varied, by, "left_semi")

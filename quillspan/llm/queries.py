@@ -14,6 +14,7 @@ from quillspan.llm.leakage import find_leaks
 from quillspan.llm.lookalike import look_alikes, pairs_alike
 from quillspan.llm.name_variants import link_names, pairs_of
 from quillspan.llm.packing import fill_containers
+from quillspan.session import cut
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,7 +59,7 @@ def p7_entities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs_of(p7_entities(spark, folder), "name_id", "entity")
+    return pairs_of(cut(p7_entities(spark, folder)), "name_id", "entity")
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
