@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from quillspan.plans import found
+from quillspan.plans import found, releases, resolve, rollups, search, store, texts
 
 QUERIES = dict(found.QUERIES)
 SQL = dict(found.SQL)
+for _module in (rollups, releases, store, search, resolve, texts):
+    QUERIES |= _module.BOOK.queries
+    SQL |= _module.BOOK.sql
