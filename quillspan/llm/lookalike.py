@@ -35,6 +35,8 @@ LOOK_ALIKES = {
 LOOK_ALIKE_MARKS = {"\u2010": "-", "\u2011": "-", "\u00b5": "\u03bc"}
 
 SPACE, NEWLINE = 32, 10
+#: Bytes of text that are folded at a time.
+SLICE_BYTES = 1 << 20
 _TOP = sys.maxunicode + 1
 
 
@@ -148,19 +150,30 @@ def canonical_points(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray
 
 
 def canonical_batch(texts: pa.Array) -> pa.Array:
-    """An Arrow string array in one form; nulls stay null."""
-    a = texts.cast(pa.large_string())
-    valid = a.is_valid()
-    a = pa.compute.fill_null(a, "")
+    """An Arrow string array in one form; nulls stay null.
+
+    Rows are taken in slices of about SLICE_BYTES (one row at least), which bounds the memory of
+    the index arrays whatever the batch holds.
+    """
+    a = pa.compute.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
     data = a.buffers()[2]
-    blob = data.to_pybytes()[offsets[0] : offsets[-1]] if data is not None else b""
-    points, starts = canonical_points(*to_points(blob, offsets - offsets[0]))
+    view = memoryview(data) if data is not None else memoryview(b"")
+    made, at = [], 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        made.append(_canonical_slice(view[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
+        at = to
+    whole = pa.concat_arrays(made) if made else pa.array([], pa.large_string())
+    return pa.compute.if_else(texts.is_valid(), whole, pa.scalar(None, pa.large_string()))
+
+
+def _canonical_slice(data: memoryview, offsets: np.ndarray) -> pa.Array:
+    points, starts = canonical_points(*to_points(bytes(data), offsets))
     raw = points.astype(np.uint32).tobytes().decode("utf-32-le").encode("utf-8")
     width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
     ends = np.concatenate(([0], np.cumsum(width)))[starts]
-    made = pa.LargeStringArray.from_buffers(len(a), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(raw))
-    return pa.compute.if_else(valid, made, pa.scalar(None, pa.large_string()))
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(raw))
 
 
 @F.pandas_udf(StringType())
