@@ -114,7 +114,8 @@ def merge_intervals(rows: DataFrame, entity: list[str], start: str = "from_day",
         pid = TaskContext.get().partitionId()
         state = carried.get(pid)
         for out, state in _scan(batches, names, state, None):  # noqa: B020
-            yield out
+            if len(out):
+                yield out
         if state and not hands_on.get(pid, False):
             yield pd.DataFrame({c: [v] for c, v in zip(names, state[0], strict=True)} | {"span_kind": ["period"], "__s": [state[1]], "__e": [state[2]]})
 

@@ -150,7 +150,8 @@ def _count_shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shapes = {shape_of(v) for d in dialects(sorted({k for _, _, k in found})) for v in parse(cell, found, d)}
             for x in shapes:
                 tally[x] += int(n)
-        yield pd.DataFrame({"shape": list(tally), "n": list(tally.values())})
+        if tally:
+            yield pd.DataFrame({"shape": list(tally), "n": list(tally.values())})
 
 
 def code_lengths(cells: DataFrame) -> DataFrame:
@@ -168,7 +169,8 @@ def _parses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = cuts(cell)
             for d in dialects(sorted({k for _, _, k in found})):
                 rows.append((cell, "".join(sorted(d)), parse(cell, found, d)))
-        yield pd.DataFrame(rows, columns=["cell", "dialect", "parts"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["cell", "dialect", "parts"])
 
 
 def _priced_by_join(cells: DataFrame, code: DataFrame) -> DataFrame:

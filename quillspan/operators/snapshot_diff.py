@@ -50,6 +50,17 @@ def held_rows(snapshots: DataFrame, columns: tuple[str, ...], buckets: int) -> D
     )
 
 
+#: Rows of one edition that a bucket should hold, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 50_000, 8
+
+
+def buckets_for(snapshots: DataFrame, editions: int) -> int:
+    """Buckets of an index: enough for the rows of an edition, not more than the shuffle's width,
+    so that a wide session does not write a file per bucket and edition for little data."""
+    each = snapshots.count() // max(1, editions)
+    return max(1, min(max(LEAST_BUCKETS, partitions(snapshots.sparkSession)), max(LEAST_BUCKETS, each // BUCKET_ROWS + 1)))
+
+
 class SnapshotIndex:
     """Bucketed key-to-hash indexes, one per edition, in a table of the shared folder."""
 
@@ -111,7 +122,7 @@ def diff_snapshots(snapshots: DataFrame, columns: tuple[str, ...] = STATE_COLUMN
     schema = "edition string, reference string, change_kind string, old_row long, new_row long"
     if len(editions) < 2:
         return spark.createDataFrame([], schema)
-    index = SnapshotIndex(spark, buckets).add(snapshots, columns)
+    index = SnapshotIndex(spark, buckets or buckets_for(snapshots, len(editions))).add(snapshots, columns)
     parts = [
         index.probe(no, before).select(F.lit(label).alias("edition"), F.col("key").alias("reference"), "change_kind", "old_row", "new_row")
         for (before, _), (no, label) in zip(editions, editions[1:], strict=False)
