@@ -61,12 +61,12 @@ def slips(a: str, b: str, most: int) -> int:
 
 def shortens(short: str, word: str) -> bool:
     """``short`` abbreviates ``word``: a prefix of three letters or more, or the word's first
-    letter, its last, and others in between in their order."""
+    letter and others in their order, up to its last or all of them consonants."""
     if len(short) >= len(word) or len(short) < 2:
         return False
     if word.startswith(short):
         return len(short) >= 3
-    if len(short) < 3 or short[0] != word[0] or short[-1] != word[-1]:
+    if len(short) < 3 or short[0] != word[0] or (short[-1] != word[-1] and set(short) & set("aeiou")):
         return False
     rest = iter(word)
     return all(c in rest for c in short)
@@ -144,6 +144,8 @@ class ReferenceList:
 
     def mentions(self, tokens: list[str]) -> list[tuple[int, int, int]]:
         """Longest non-overlapping mentions: (first token, tokens, entry), longest first."""
+        if not self.aliases:
+            return []
         text = f" {' '.join(tokens)} "
         starts = {}
         at = 0

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -117,18 +118,27 @@ def canonical_points(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray
         at = np.flatnonzero(swap)
         at = at[np.concatenate(([True], np.diff(at) > 1))]
         out[at], out[at + 1] = out[at + 1].copy(), out[at].copy()
-    # compose a mark with the letter just before it, again until nothing is left to compose
+    # compose the first mark of a letter that no mark of its own class or above stands before,
+    # again until nothing is left to compose
     while len(out) > 1 and len(pairs):
-        want = out[:-1].astype(np.int64) << 21 | out[1:].astype(np.int64)
-        maybe = np.flatnonzero((out[1:] >= 0x300) & (row[:-1] == row[1:]))
-        found = np.searchsorted(pairs, want[maybe])
-        hit = maybe[(found < len(pairs)) & (pairs[np.minimum(found, len(pairs) - 1)] == want[maybe])]
-        if not len(hit):
+        k = classes[out]
+        base = np.maximum.accumulate(np.where(k == 0, np.arange(len(out)), 0))
+        base[1:] = np.where(k[1:] > 0, base[1:], np.arange(len(out) - 1))  # a letter may follow a letter it composes with
+        maybe = np.flatnonzero((k[1:] == 0) | (k[:-1] == 0) | (k[:-1] < k[1:])) + 1
+        maybe = maybe[(out[maybe] >= 0x300) & (row[base[maybe]] == row[maybe]) & (k[base[maybe]] == 0)]
+        want = out[base[maybe]].astype(np.int64) << 21 | out[maybe].astype(np.int64)
+        found = np.minimum(np.searchsorted(pairs, want), len(pairs) - 1)
+        ok = pairs[found] == want
+        at, made = maybe[ok], composed[found[ok]]
+        if not len(at):
             break
-        hit = hit[np.concatenate(([True], np.diff(hit) > 1))]
-        out[hit] = composed[np.searchsorted(pairs, want[hit])]
+        first = np.concatenate(([True], base[at][1:] != base[at][:-1]))
+        at, made = at[first], made[first]
+        apart = np.concatenate(([True], base[at][1:] > at[:-1]))  # a letter just taken is not composed with in this round
+        at, made = at[apart], made[apart]
+        out[base[at]] = made
         keep = np.ones(len(out), bool)
-        keep[hit + 1] = False
+        keep[at] = False
         starts = _rows_after(keep, starts)
         out, row = out[keep], row[keep]
     # the width of a space does not count, nor do spaces that end a line
@@ -201,18 +211,18 @@ def look_alikes(rows: DataFrame, key: str, text: str, within: list[str]) -> Data
 def pairs_alike(rows: DataFrame, key: str, text: str, within: list[str]) -> DataFrame:
     """``<key>_a, <key>_b`` (a < b) of rows that read the same but are not the same string.
 
+    Rows are compared ``within`` equal columns; null equals null.
+
     Digests alone are shuffled.  Groups of one spelling are dropped before the join, so exact
     copies, however many, meet nothing; between different spellings every pair is a result.
     """
     marked = cut(look_alikes(rows, key, text, within).filter("look is not null"))
     by = [*within, "look"]
     varied = marked.groupBy(*by).agg(F.min("letters").alias("l"), F.max("letters").alias("m")).filter("l <> m").select(*by)
-    kept = marked.join(varied, by, "left_semi")
+    m, v = marked.alias("m"), varied.alias("v")
+    kept = m.join(v, reduce(and_, [F.col(f"m.{c}").eqNullSafe(F.col(f"v.{c}")) for c in by]), "left_semi")
     a, b = kept.alias("a"), kept.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by[:-1]] + [F.col("a.look") == F.col("b.look")]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
+    on = reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
     return a.join(b, on & (F.col("a.letters") != F.col("b.letters")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))).select(
         F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b")
     )
