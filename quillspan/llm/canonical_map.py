@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 MOST_ENTRIES = 200_000
 
 #: Token-set similarity from which a value without a mention is taken for an entry.
-LEAST_SIMILARITY = 0.75
+LEAST_SIMILARITY = 0.65
 
 #: Words that say nothing about which data set is meant.
 NOISE = frozenset(
@@ -117,6 +117,7 @@ class ReferenceList:
         for key, extra in self.extra.items():
             self.tails[extra].add(key)
         self.fixed: dict[str, str] = {}
+        self.soft: dict[str, dict[str, float]] = {}
 
     def settle(self, word: str) -> str:
         """The list's own word that ``word`` stands for, or ``word`` itself."""
@@ -174,7 +175,7 @@ class ReferenceList:
         if kept:
             key = self._combined(tokens, kept)
             return key, "mention", 1.0
-        return self._similar(tokens)
+        return self._similar(words(value))
 
     def _combined(self, tokens: list[str], kept: list[tuple[int, int, int]]) -> int:
         """One entry for several mentions: of an entry and its variants the variant is meant; words
@@ -187,21 +188,38 @@ class ReferenceList:
                 return best
             covered = {i for first, n, _ in kept for i in range(first, first + n)}
             left = [t for i, t in enumerate(tokens) if i not in covered]
-            options = [k for extra, ks in self.tails.items() if set(extra) <= set(left) for k in ks if self.base[k] == best]
-            return max(options, key=lambda k: (len(self.extra[k]), -k)) if options else best
+            told = set(left) - NOISE
+            options = [(len(told & set(extra)) / len(extra), len(extra), -k) for extra, ks in self.tails.items() if told & set(extra) for k in ks if self.base[k] == best]
+            return -max(options)[2] if options and max(options)[0] >= 0.5 else best
         return min(kept, key=lambda m: (-m[1], m[0]))[2]
 
-    def _similar(self, tokens: list[str]) -> tuple[int, str, float]:
-        given = set(tokens) - NOISE
-        given = {t for t in given if not t.isdigit() and not re.fullmatch(r"v?\d+", t)}
+    def _near(self, word: str) -> dict[str, float]:
+        """The list's words near ``word``, each with how near: 1 is the word itself."""
+        if word not in self.soft:
+            near = {word: 1.0} if word in self.vocabulary else {}
+            if len(word) >= 4 and not near:
+                for w in self.vocabulary:
+                    allowed = 1 if min(len(w), len(word)) < 5 else max(2, min(len(w), len(word)) // 3)
+                    d = slips(word, w, allowed) if len(w) >= 4 else allowed + 1
+                    if d <= allowed:
+                        near[w] = 1 - d / max(len(w), len(word))
+                for w in self.by_first[word[0]]:
+                    if shortens(word, w):
+                        near[w] = max(near.get(w, 0), 0.7)
+            self.soft[word] = near
+        return self.soft[word]
+
+    def _similar(self, given: list[str]) -> tuple[int, str, float]:
+        """Token sets compared: a word counts by how near it is to the entry's own."""
+        told = [t for t in dict.fromkeys(given) if t not in NOISE and t not in self.codes and not any(c.isdigit() for c in t)]
         best = (0.0, 0)
-        for key, (long, short) in self.parts.items():
+        for key, (long, _) in self.parts.items():
             own = set(long) - NOISE
-            if not own or not given:
+            if not own or not told:
                 continue
-            both = len(own & given)
-            score = 2 * both / (len(own) + len(given - set(short)))
-            if score > best[0]:
+            same = [max((self._near(t).get(w, 0.0) for t in told), default=0.0) for w in own]
+            score = 2 * sum(same) / (len(own) + len(told))
+            if (score, -key) > (best[0], -best[1]):
                 best = (score, key)
         return (best[1], "similar", best[0]) if best[0] >= LEAST_SIMILARITY else (0, "none", best[0])
 
