@@ -213,16 +213,17 @@ def pairs_alike(rows: DataFrame, key: str, text: str, within: list[str]) -> Data
 
     Rows are compared ``within`` equal columns; null equals null.
 
-    Digests alone are shuffled.  Groups of one spelling are dropped before the join, so exact
-    copies, however many, meet nothing; between different spellings every pair is a result.
+    Digests alone are shuffled.  Spellings are paired first, one row each however many rows share
+    one, and each pair of spellings is then given its rows: exact copies meet only rows that are
+    written differently, and every pair that is made is a result.
     """
     marked = cut(look_alikes(rows, key, text, within).filter("look is not null"))
     by = [*within, "look"]
-    varied = marked.groupBy(*by).agg(F.min("letters").alias("l"), F.max("letters").alias("m")).filter("l <> m").select(*by)
-    m, v = marked.alias("m"), varied.alias("v")
-    kept = m.join(v, reduce(and_, [F.col(f"m.{c}").eqNullSafe(F.col(f"v.{c}")) for c in by]), "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    on = reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
-    return a.join(b, on & (F.col("a.letters") != F.col("b.letters")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))).select(
-        F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b")
-    )
+    spellings = cut(marked.groupBy(*by, "letters").agg(F.count(F.lit(1)).alias("__n")).select(*by, "letters"))
+    same = lambda x, y: reduce(and_, [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in by])
+    a, b = spellings.alias("a"), spellings.alias("b")
+    pairs = a.join(b, same("a", "b") & (F.col("a.letters") < F.col("b.letters"))).select(*[F.col(f"a.{c}").alias(c) for c in by], F.col("a.letters").alias("first"), F.col("b.letters").alias("second"))
+    p, m, n = pairs.alias("p"), marked.alias("m"), marked.alias("n")
+    half = p.join(m, same("p", "m") & (F.col("p.first") == F.col("m.letters"))).select("p.*", F.col(f"m.{key}").alias("__a")).alias("h")
+    whole = half.join(n, same("h", "n") & (F.col("h.second") == F.col("n.letters"))).select("__a", F.col(f"n.{key}").alias("__b"))
+    return whole.select(F.least("__a", "__b").alias(f"{key}_a"), F.greatest("__a", "__b").alias(f"{key}_b"))
