@@ -82,6 +82,8 @@ def merge_intervals(rows: DataFrame, entity: list[str], start: str = "from_day",
         F.unix_date(F.col(start)).alias("__s"),
         F.unix_date(F.col(end)).alias("__e"),
     ).filter("__s is not null and __e is not null and __s <= __e")
+    # repeated rows and equal starts go before the sort: a range never divides equal sort keys
+    ready = ready.groupBy(*entity, "__s").agg(F.max("__e").alias("__e"))
     ordered = cut(ready.repartitionByRange(width, *entity, "__s").sortWithinPartitions(*entity, "__s"))
     names = list(entity)
 

@@ -32,8 +32,9 @@ def held_rows(snapshots: DataFrame, columns: tuple[str, ...], buckets: int) -> D
     """One narrow row per edition and key: ``edition_no, key, h1, h2, row_id``.
 
     The row delivered last holds (ties: the greatest ``snapshot_id``).  Rows without an edition
-    or a reference are left out.  Hash-partitioned by key alone, so one bucket holds a key's
-    every edition; a key has one row per edition, so no key is hot.
+    or a reference are left out.  Repeated rows are reduced before they are shuffled; then a key
+    has one row per edition, so no key is hot.  Hash-partitioned by key alone: one bucket holds a
+    key's every edition.
     """
     narrow = snapshots.select(
         edition_no(F.col("edition")).alias("edition_no"),

@@ -45,10 +45,10 @@ def version_key(version: Column) -> Column:
 
 
 def blank_for_null(df: DataFrame, c: str) -> Column:
-    """Null counts as blank: an empty text, or an empty array."""
+    """Null counts as blank: an empty text, or an empty array; in an array of texts, '' again."""
     kind = dict(df.dtypes)[c]
     if kind.startswith("array"):
-        return F.coalesce(F.col(c), F.array().cast(kind))
+        return F.coalesce(F.transform(F.col(c), lambda x: F.coalesce(x, F.lit(""))), F.array().cast(kind)) if kind == "array<string>" else F.coalesce(F.col(c), F.array().cast(kind))
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 

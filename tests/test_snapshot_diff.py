@@ -61,6 +61,11 @@ def test_text_moving_between_columns_is_a_change(spark):
     assert found(diff_snapshots(rows(spark, data), COLUMNS)) == [("june2023", "A", "changed")]
 
 
+def test_null_in_an_array_is_a_blank_entry(spark):
+    data = [("may2023", 1, "A", "x", "", ["a", None]), ("june2023", 1, "A", "x", "", ["a", ""]), ("july2023", 1, "A", "x", "", ["a"])]
+    assert found(diff_snapshots(rows(spark, data), COLUMNS)) == [("july2023", "A", "changed")]
+
+
 @pytest.mark.parametrize("data", [[], DATA[:3]])
 def test_no_or_one_edition_gives_nothing(spark, data):
     assert diff_snapshots(rows(spark, data), COLUMNS).collect() == []
