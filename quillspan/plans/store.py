@@ -222,3 +222,57 @@ def q12_orphan_files(spark: SparkSession, folder: str) -> DataFrame:
     f = table(spark, folder, "released_files").groupBy(reference_key(F.col("base_reference")).alias("base")).agg(F.count(F.lit(1)).alias("n_rows"))
     s = table(spark, folder, "agreement_snapshots").select(base_of(reference_key(F.col("reference"))).alias("base")).distinct()
     return f.join(s, "base", "left_anti")
+
+
+#: The fields of prose, in order.
+PROSE = ("objective", "activities", "expected_output", "expected_benefits", "yielded_benefits")
+
+
+def _plain_sql(c: str) -> str:
+    return f"lower(translate({line_sql(c)}, '‘’“”–—', '''''\"\"--'))"
+
+
+_KINDS = ", ".join(
+    f"{{'f': '{c}', 'k': case when coalesce(a.{c}, '') = coalesce(b.{c}, '') then null when {_plain_sql(f'a.{c}')} = {_plain_sql(f'b.{c}')} then 'cosmetic' when {line_sql(f'a.{c}')} = '' then 'filled in' when {line_sql(f'b.{c}')} = '' then 'emptied' else 'changed' end}}"
+    for c in (*SCALARS, *PROSE)
+)
+_D7 = _PAIRS + f", d as (select b.no, b.key, unnest([{_KINDS}]) as x from held b join e on e.no = b.no join held a on a.key = b.key and a.no = e.prev) "
+
+
+def change_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """``no, key, field, kind`` of every field that differs from the edition before: cosmetic
+    (typography, spacing, case), filled in, emptied or changed.  Only references whose state
+    digest differs are compared field by field."""
+    fields = (*SCALARS, *PROSE)
+    plain = lambda c: F.lower(F.translate(clean_line(c), "‘’“”–—", "''\"\"--"))
+    b = held(spark, folder, *fields)
+    pairs = b.select("no").distinct().select("no", F.lag("no").over(Window.orderBy("no")).alias("prev"))  # editions are months: few
+    digest = F.xxhash64(*[F.coalesce(c, F.lit("")) for c in fields])
+    w = Window.partitionBy("key").orderBy("no")
+    j = b.withColumn("h", digest).join(F.broadcast(pairs), "no").withColumn("l", F.lag(F.struct("no", "h", *fields)).over(w)).filter("l.no = prev and l.h <> h")
+
+    def kind(c: str):
+        was, now = F.coalesce(F.col(f"l.{c}"), F.lit("")), F.coalesce(F.col(c), F.lit(""))
+        return F.when(was == now, F.lit(None)).when(plain(was) == plain(now), "cosmetic").when(clean_line(was) == "", "filled in").when(clean_line(now) == "", "emptied").otherwise("changed")
+
+    each = F.filter(F.array(*[F.struct(F.lit(c).alias("field"), kind(c).alias("kind")) for c in fields]), lambda x: x["kind"].isNotNull())
+    return j.select("no", "key", F.inline(each))
+
+
+@BOOK.add(_D7 + "select no, x.f as field, x.k as kind, count(*) as n from d where x.k is not null group by all")
+def d7_change_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return change_kinds(spark, folder).groupBy("no", "field", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@BOOK.add(_D7 + ", v as (select no, key, bool_or(x.k <> 'cosmetic') as material, count(*) as fields from d where x.k is not null group by no, key) select no, count(*) as amended, count(*) filter (material) as material from v group by no")
+def f5_material_amendments(spark: SparkSession, folder: str) -> DataFrame:
+    """References amended per edition, and those amended in substance."""
+    v = change_kinds(spark, folder).groupBy("no", "key").agg(F.bool_or(F.col("kind") != "cosmetic").alias("m"))
+    return v.groupBy("no").agg(F.count(F.lit(1)).alias("amended"), F.count_if("m").alias("material"))
+
+
+@BOOK.add(_D7 + ", v as (select no, key, array_to_string(list_sort(list(x.f || ': ' || x.k)), ', ') as details from d where x.k is not null and x.k <> 'cosmetic' group by no, key) select * from v")
+def d14_details(spark: SparkSession, folder: str) -> DataFrame:
+    """What was amended about a reference, in words."""
+    k = change_kinds(spark, folder).filter("kind <> 'cosmetic'")
+    return k.groupBy("no", "key").agg(F.array_join(F.sort_array(F.collect_list(F.concat("field", F.lit(": "), "kind"))), ", ").alias("details"))
