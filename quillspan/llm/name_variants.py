@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.llm.canonical_map import slips
+from quillspan.session import cut
 
 #: Words written short in names of bodies.
 SHORT_FORMS = {
@@ -221,19 +222,19 @@ def link_names(rows: DataFrame, key: str, name: str) -> DataFrame:
     """
     given = rows.select(F.col(key).alias("id"), F.col(name).alias("name"))
     words = given.select("id", F.posexplode(_tokens("name")).alias("pos", "word"))
-    meant = slip_table(words.select("id", "word").distinct())
+    meant = cut(slip_table(words.select("id", "word").distinct()))
     settled = words.join(meant, "word", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("meant", "word").alias("word")))).alias("w"))
     forms = settled.select("id", _rewritings("w.word").alias("forms"))
-    each = forms.select("id", F.posexplode("forms").alias("no", "form"))
+    each = cut(forms.select("id", F.posexplode("forms").alias("no", "form")))
     full = each.filter("form not like 'i:%'")
     # names that may be read in several ways take the reading most names share
-    support = full.groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+    support = cut(full.groupBy("form").agg(F.count(F.lit(1)).alias("n")))
     read = full.join(support, "form").groupBy("id").agg(F.max_by(F.struct("form", "n"), F.struct("n", (-F.col("no")).alias("no"))).alias("e")).select("id", "e.form", "e.n")
     # a form that one name alone has, and that is one slip away from a form of several, or of one
     lone = read.filter("n = 1").select("form", F.explode(_struck("form")).alias("rest"))
     shared = support.select(F.col("form").alias("meant"), "n", F.explode(_struck("form")).alias("rest"))
     slip = lone.join(shared, "rest").filter("n > 1 or meant < form").select("form", "meant", "n").distinct().filter(_slips("form", "meant") == 1).groupBy("form").agg(F.min_by("meant", F.struct((-F.col("n")).alias("n"), "meant")).alias("meant"))
-    entity = read.join(slip, "form", "left").select("id", F.coalesce("meant", "form").alias("entity"))
+    entity = cut(read.join(slip, "form", "left").select("id", F.coalesce("meant", "form").alias("entity")))
     # what an initial may stand for
     initials = each.filter("form like 'i:%'")
     owners = initials.join(entity, "id").groupBy("form").agg(F.countDistinct("entity").alias("rarity"), F.min("entity").alias("owner"))
