@@ -125,9 +125,14 @@ def lexicon():
     return machine, dict(masked), frozenset(plain)
 
 
-def read_as(token: str) -> list[str]:
-    """The words that a token reads as."""
+@lru_cache(100_000)
+def read_as(token: str) -> tuple[str, ...]:
+    """The words that a token reads as, squeezed."""
     t = token.strip(".!-–—'’…")
+    return (squeezed(t),) if t.isalpha() else tuple(map(squeezed, _unmasked(t)))
+
+
+def _unmasked(t: str) -> list[str]:
     m = _MASKED.match(t)
     if m:  # letters masked by signs
         _, masked, _ = lexicon()
@@ -149,7 +154,7 @@ def folded(sentence: str) -> list[str]:
     """The words of a sentence as they are meant, lower-case and squeezed."""
     s = sentence.casefold()
     s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), s)
-    return [squeezed(w) for t in _TOKEN.findall(s) for w in read_as(t)]
+    return [w for t in _TOKEN.findall(s) for w in read_as(t)]
 
 
 def sentence_score(sentence: str) -> tuple[float, list[str]]:
