@@ -26,6 +26,8 @@ MOST_ENTRIES = 200_000
 
 #: Token-set similarity from which a value without a mention is taken for an entry.
 LEAST_SIMILARITY = 0.65
+#: Values whose match a worker remembers.
+MOST_KEPT = 100_000
 
 #: Words that say nothing about which data set is meant.
 NOISE = frozenset(
@@ -118,6 +120,7 @@ class ReferenceList:
             self.tails[extra].add(key)
         self.fixed: dict[str, str] = {}
         self.soft: dict[str, dict[str, float]] = {}
+        self.seen: dict[str, tuple[int, str, float]] = {}
 
     def settle(self, word: str) -> str:
         """The list's own word that ``word`` stands for, or ``word`` itself."""
@@ -170,6 +173,13 @@ class ReferenceList:
 
     def match(self, value: str) -> tuple[int, str, float]:
         """(entry or 0, how: ``mention``, ``similar`` or ``none``, similarity)."""
+        if value not in self.seen:
+            if len(self.seen) >= MOST_KEPT:
+                self.seen.clear()
+            self.seen[value] = self._match(value)
+        return self.seen[value]
+
+    def _match(self, value: str) -> tuple[int, str, float]:
         tokens = [self.settle(w) for w in words(value)]
         kept = self.mentions(tokens)
         if kept:
