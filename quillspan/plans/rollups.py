@@ -129,11 +129,11 @@ def j4_files_with_datasets(spark: SparkSession, folder: str) -> DataFrame:
     return files(spark, folder).join(groups(spark, folder), "group_id", "left").select("file_ref", "base", "dataset", "channel", "month")
 
 
-@BOOK.add("""select snapshot_id, list_filter(list_transform(string_split(coalesce(objective, ''), chr(10)), lambda x: trim(regexp_replace(x, '^[\\s\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]+|[\\s\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]+$', '', 'g'))), lambda x: x <> '') as paras from agreement_snapshots""")
+@BOOK.add("""select snapshot_id, array_to_string(list_filter(list_transform(string_split(coalesce(objective, ''), chr(10)), lambda x: trim(regexp_replace(x, '^[\\s\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]+|[\\s\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]+$', '', 'g'))), lambda x: x <> ''), '|') as paras from agreement_snapshots""")
 def x16_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     from quillspan.functions.text import paragraphs
 
-    return table(spark, folder, "agreement_snapshots").select("snapshot_id", paragraphs(F.col("objective")).alias("paras"))
+    return table(spark, folder, "agreement_snapshots").select("snapshot_id", F.array_join(paragraphs(F.col("objective")), "|").alias("paras"))
 
 
 @BOOK.add("select text_id, trim(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')) as text from earlier_texts")

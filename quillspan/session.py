@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
@@ -39,7 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def work_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder for a table an operator writes."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(at)
+    return at
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete the working tables of this session; frames that read them cannot be run any more."""
+    for at in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
