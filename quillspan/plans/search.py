@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import clean_line, words
+from quillspan.functions.text import END, START, clean_line, words
 from quillspan.plans.base import HELD, Book, latest, line_sql
 
 BOOK = Book()
@@ -140,7 +140,7 @@ def t8_highlight_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Matches marked in the text, and their number."""
     from quillspan.sources.register import table
 
-    p = r"(?i)\b(patients?|people)\b"
+    p = rf"(?i){START}(patients?|people){END}"
     t = table(spark, folder, "earlier_texts")
     return t.filter(F.col("text").rlike(p)).select("text_id", F.regexp_count("text", F.lit(p)).cast("long").alias("marks"), F.regexp_replace("text", p, "<mark>$1</mark>").alias("marked"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.compare import diff_blocks, display_name, normalise, redline_text, slugify, split_list, word_edits
+from quillspan.functions.text import END, START
 from quillspan.plans.base import Book, held
 from quillspan.sources.register import table
 
@@ -70,11 +71,18 @@ LINT = {
 }
 
 
+
+
+def _ascii(pattern: str) -> str:
+    """A pattern that begins and ends at a word of ASCII, for Java."""
+    return START + pattern.removeprefix(r"\b").removesuffix(r"\b") + END
+
+
 @BOOK.add("with r(rule, pattern) as (values " + ", ".join(f"('{k}', '{v}')" for k, v in LINT.items()) + ") select rule, count(*) as documents, cast(sum(len(regexp_extract_all(lower(text), pattern))) as bigint) as hits from documents, r where regexp_matches(lower(text), pattern) group by rule")
 def q8_cliche_lint(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and hits per rule; every rule is counted in one pass over the texts."""
     low = F.lower("text")
-    counts = F.array(*[F.struct(F.lit(k).alias("rule"), F.regexp_count(low, F.lit(p)).cast("long").alias("n")) for k, p in LINT.items()])
+    counts = F.array(*[F.struct(F.lit(k).alias("rule"), F.regexp_count(low, F.lit(_ascii(p))).cast("long").alias("n")) for k, p in LINT.items()])
     d = table(spark, folder, "documents").select(F.inline(counts)).filter("n > 0")
     return d.groupBy("rule").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("hits"))
 

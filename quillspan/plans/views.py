@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.dates import edition_no, parse_day
-from quillspan.functions.text import clean_line, iso, name_key, words
+from quillspan.functions.text import END, START, clean_line, iso, name_key, words
 from quillspan.plans.base import HELD, NO_SQL, Book, agreements, dataset_rows, files, first_by, held, latest, line_sql
 from quillspan.plans.found import _DAY
 from quillspan.plans.resolve import _RENAMES, renames
@@ -119,13 +119,13 @@ def w11_gap_decoding(spark: SparkSession, folder: str) -> DataFrame:
     return n.groupBy("word").agg(F.sum("number").alias("numbers"), F.count(F.lit(1)).alias("documents"))
 
 
-@BOOK.add("""with s as (select text_id, unnest(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]'), lambda x: trim(x))) as sentence, generate_subscripts(regexp_extract_all(text, '[^.!?]+[.!?]'), 1) as i from earlier_texts where len(regexp_extract_all(text, '[^.!?]+[.!?]')) > 0),
+@BOOK.add("""with s as (select text_id, unnest(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]'), lambda x: regexp_replace(x, '^[ \n]+', ''))) as sentence, generate_subscripts(regexp_extract_all(text, '[^.!?]+[.!?]'), 1) as i from earlier_texts where len(regexp_extract_all(text, '[^.!?]+[.!?]')) > 0),
 o as (select text_id, i, lower(regexp_extract(sentence, '^([A-Za-z]+)', 1)) as opener from s), g as (select *, i - row_number() over (partition by text_id, opener order by i) as island from o)
 select text_id, opener, count(*) as sentences from g where opener <> '' group by text_id, opener, island having count(*) >= 2""")
 def w12_same_openers(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of sentences that open with the same word, by the difference of two row numbers."""
     s = table(spark, folder, "earlier_texts").select("text_id", F.posexplode(F.regexp_extract_all("text", F.lit("[^.!?]+[.!?]"), F.lit(0))).alias("i", "sentence"))
-    o = s.select("text_id", "i", F.lower(F.regexp_extract(F.regexp_replace("sentence", "^ +| +$", ""), "^([A-Za-z]+)", 1)).alias("opener")).filter("opener <> ''")
+    o = s.select("text_id", "i", F.lower(F.regexp_extract(F.regexp_replace("sentence", "^[ \n]+", ""), "^([A-Za-z]+)", 1)).alias("opener")).filter("opener <> ''")
     g = o.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("text_id", "opener").orderBy("i")))
     return g.groupBy("text_id", "opener", "island").agg(F.count(F.lit(1)).alias("sentences")).filter("sentences >= 2").drop("island")
 
@@ -214,7 +214,7 @@ def c2_agreement_timeline(spark: SparkSession, folder: str) -> DataFrame:
 @BOOK.add("select doc_id, len(regexp_extract_all(text, '\\b[A-Z]{2,}\\b')) as acronyms, len(string_split(coalesce(text, ''), chr(10))) as lines from documents where text is not null")
 def x15_acronyms(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "documents").filter("text is not null")
-    return t.select("doc_id", F.regexp_count("text", F.lit(r"\b[A-Z]{2,}\b")).cast("long").alias("acronyms"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
+    return t.select("doc_id", F.regexp_count("text", F.lit(rf"{START}[A-Z]{{2,}}{END}")).cast("long").alias("acronyms"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
 
 
 @BOOK.add(HELD + ", t as (select lower(organisation) as org, organisation_type as t, count(*) as n from agr where organisation <> '' group by all) select org, count(*) as types, array_to_string(list_sort(list(t)), ';') as listed from t where t <> '' group by org having count(*) > 1")
