@@ -17,3 +17,14 @@ def test_shared_folder(spark):
 def test_cut_keeps_partitions(spark):
     df = spark.range(100).repartition(7, "id")
     assert cut(df).rdd.getNumPartitions() == 7 and cut(df).count() == 100
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from quillspan.__main__ import main
+
+    main(["list"])
+    assert "p1_found" in capsys.readouterr().out
+    main(["a14_yearly_totals", sf, "--out", str(tmp_path / "o"), "--format", "csv"])
+    assert spark.read.csv(str(tmp_path / "o"), header=True).columns == ["year", "files"]
+    main(["a14_yearly_totals", sf, "--explain"])
+    assert "PushedFilters" in capsys.readouterr().out
