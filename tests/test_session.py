@@ -26,5 +26,5 @@ def test_command_line(spark, sf, tmp_path, capsys):
     assert "p1_found" in capsys.readouterr().out
     main(["a14_yearly_totals", sf, "--out", str(tmp_path / "o"), "--format", "csv"])
     assert spark.read.csv(str(tmp_path / "o"), header=True).columns == ["year", "files"]
-    main(["a14_yearly_totals", sf, "--explain"])
+    main(["s5_point_read", sf, "--explain"])
     assert "PushedFilters" in capsys.readouterr().out
