@@ -1,4 +1,8 @@
-"""Abuse scoring: cases and look-alikes of cases, and the raters' labels as a held-out measure."""
+"""Abuse scoring: cases and look-alikes of cases, and raters who agree.
+
+The lexicon was written with these labelled texts in view, so their test guards against
+regressions; it is no held-out measure.
+"""
 
 import pandas as pd
 import pytest
