@@ -414,19 +414,22 @@ def _slots(chain: list[tuple[int, int]], cells: Cells) -> tuple[int, int, bool]:
 
 
 _RESULT = "doc_id long, item_id long, share double, density double, slots int, changed_slots int, consistent boolean"
-_RUN = "share double, density double, slots int, changed_slots int, consistent boolean"
-
-
+_RESULT_NAMES = ["doc_id", "item_id", "share", "density", "slots", "changed_slots", "consistent"]
 def runs_of(grouped: DataFrame) -> DataFrame:
-    """``row, doc_id, item_id, run`` of the groups of ``hits`` that hold a run."""
+    """``row`` and the result's columns for the groups of ``hits`` that hold a run."""
 
-    @F.pandas_udf(_RUN)
-    def run_of(q: pd.Series, doc_gap: pd.Series, p: pd.Series, item_gap: pd.Series, own: pd.Series, theirs: pd.Series, words: pd.Series) -> pd.DataFrame:
-        rows = [best_run(agreeing(*x[:-1]), x[-1]) or (None,) * 5 for x in zip(q, doc_gap, p, item_gap, own, theirs, words, strict=True)]
-        return pd.DataFrame(rows, columns=["share", "density", "slots", "changed_slots", "consistent"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row, doc, item, words, *hits in pdf.itertuples(index=False, name=None):
+                found = best_run(agreeing(*hits), words)
+                if found:
+                    rows.append((row, doc, item, *found))
+            if rows:
+                yield pd.DataFrame(rows, columns=["row", *_RESULT_NAMES])
 
-    run = run_of("hits.q", "hits.doc_gap", "hits.p", "hits.item_gap", F.flatten("hits.a"), F.flatten("hits.b"), "words")
-    return grouped.select("row", "doc_id", "item_id", run.alias("run")).filter("run.share is not null")
+    hits = [F.col(f"hits.{c}").alias(c) for c in ("q", "doc_gap", "p", "item_gap")] + [F.flatten(f"hits.{c}").alias(c) for c in ("a", "b")]
+    return grouped.select("row", "doc_id", "item_id", "words", *hits).mapInPandas(run, f"row long, {_RESULT}")
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", key: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -461,5 +464,6 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text
     # chaining is slow for its few bytes, so its tasks are not merged by their size
     kept = joined.join(F.broadcast(likely) if few else likely, pair, "left_semi").repartition(partitions(spark), "row", "item_id")
     grouped = kept.groupBy(*pair).agg(F.collect_list(hit).alias("hits"))
-    best = runs_of(grouped).groupBy("row", "doc_id", "item_id").agg(F.max("run").alias("run"))
+    run = F.struct(*_RESULT_NAMES[2:])
+    best = runs_of(grouped).groupBy("row", "doc_id", "item_id").agg(F.max(run).alias("run"))
     return best.select("doc_id", "item_id", "run.*")
