@@ -123,7 +123,37 @@ per as (
 nxt as (select *, lead(s) over (partition by span_source, base_reference, dataset order by s) as after from per)
 """
 
+#: What the cells of these tables come to when every delimiter outside quotes and brackets divides.
+_P6 = r"""
+with cells as (
+  select 'state_datasets' as source_table, dataset_row_id as row_id, legal_basis as cell from state_datasets
+  union all select 'earlier_releases', release_id, legal_basis from earlier_releases
+),
+signs as (  -- delimiters of several characters, and commas within numbers, as one character each
+  select source_table, row_id,
+         replace(replace(replace(regexp_replace(cell, '(\d),(\d)', '\1' || chr(1) || '\2', 'g'), ' / ', chr(2)), '//', chr(3)), ' + ', chr(4)) as cell
+  from cells where cell is not null and regexp_matches(cell, '[^\s]')
+),
+parts as (
+  select source_table, row_id,
+         regexp_extract_all(cell, '(?:"(?:[^"]|"")*"|\((?:[^()]|\([^()]*\))*\)|\[[^\[\]]*\]|[^;；,，、|¦\r\n\t•‣●▪\x02\x03\x04])+') as vs
+  from signs
+),
+trimmed as (
+  select source_table, row_id,
+         list_transform(vs, lambda v: replace(replace(replace(replace(regexp_replace(v, '^\s+|\s+$', '', 'g'), chr(1), ','), chr(2), ' / '), chr(3), '//'), chr(4), ' + ')) as vs
+  from parts
+),
+bare as (
+  select source_table, row_id,
+         list_filter(list_transform(vs, lambda v: case when regexp_full_match(v, '"(?:[^"]|"")*"') then trim(replace(v[2:-2], '""', '"')) else v end), lambda v: v <> '') as vs
+  from trimmed
+)
+select source_table, row_id, cast(unnest(range(1, len(vs) + 1)) as bigint) as value_no, unnest(vs) as basis from bare
+"""
+
 SQL: dict[str, str] = {
+    "p6_found": _P6,
     "p1_found": "with " + _HELD + f"""
 st as (select h.key, e.seq, e.edition, {_STATE} as state from held h join eds e using (no)),
 pairs as (

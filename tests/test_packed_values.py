@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from quillspan.operators import packed_values as P
 
@@ -50,17 +52,54 @@ def test_round_trip(spark):
 
 def test_priced_by_a_join_alike(spark):
     data = [(i, c) for i, c, _ in cells(80)]
-    assert split(spark, data, broadcast_rows=0) == split(spark, data)
+    assert split(spark, data, broadcast_chars=-1) == split(spark, data)
 
 
 def test_blank_null_repeated_and_long(spark):
     long = "; ".join(["Participant consent"] * 5000)
     got = split(spark, [(1, None), (2, ""), (3, " \t\n"), (4, ";;"), (5, "Notice 2020"), (5, "Notice 2020"), (6, long)] + [(100 + i, "Participant consent; Notice 2020") for i in range(20)])
     assert set(got) == {5, 6} | set(range(100, 120))
+    for i in range(100, 120):  # one company of values, and nothing else to tell them by
+        assert got[i] == [(1, "Participant consent"), (2, "Notice 2020")]
     assert got[5] == [(1, "Notice 2020"), (1, "Notice 2020")]
     assert len(got[6]) == 5000
 
 
+def test_frequent_company_is_divided(spark):
+    for sep in ("; ", ", "):
+        data = [(i, f"Participant consent{sep}Health order 2012") for i in range(300)]
+        data += [(300 + i, v) for i, v in enumerate(["Participant consent", "Health order 2012"] * 20)]
+        got = split(spark, data)
+        assert all(got[i] == [(1, "Participant consent"), (2, "Health order 2012")] for i in range(300)), sep
+
+
+def test_value_with_a_comma_is_kept(spark):
+    data = [(i, "Trade, Health and Pensions Order 1999") for i in range(30)] + [(30 + i, "Participant consent; Trade, Health and Pensions Order 1999") for i in range(5)]
+    got = split(spark, data)
+    assert got[3] == [(1, "Trade, Health and Pensions Order 1999")]
+    assert got[31] == [(1, "Participant consent"), (2, "Trade, Health and Pensions Order 1999")]
+
+
+def test_quotes_that_shield_nothing(spark):
+    data = [(i, v) for i, v in enumerate(['5" pipe', '6" pipe'] * 30)] + [(100, '5" pipe; 6" pipe'), (101, '"5 pipes; 6 pipes"; 5" pipe')]
+    for kw in ({}, {"broadcast_chars": -1}):
+        got = split(spark, data, **kw)
+        assert got[100] == [(1, '5" pipe'), (2, '6" pipe')]
+        assert got[101] == [(1, "5 pipes; 6 pipes"), (2, '5" pipe')]
+
+
+def test_delimiters_alone(spark):
+    data = list(enumerate([";;", " , ", "|", " \n ; ", '""', "; ,|\t", "a"]))
+    assert split(spark, data) == split(spark, data, broadcast_chars=-1) == {6: [(1, "a")]}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet='ab1; ,|/\n"()•+', max_size=14), max_size=25))
+def test_both_ways_of_pricing_agree(spark, texts):
+    data = list(enumerate(texts))
+    assert split(spark, data) == split(spark, data, broadcast_chars=-1)
+
+
 def test_empty(spark):
     assert split(spark, []) == {}
 
