@@ -2,9 +2,10 @@
 
 Method: a weighted lexicon of words and phrases is matched by an Aho-Corasick automaton in text
 folded so that look-alike letters, digits and signs in place of letters, stretched and spaced-out
-words and masked letters read as the word meant.  Phrases of the exception list take out what
-they cover, quoted speech is not the document's own, and the weights of a sentence are set
-against its length.  The score of a document is that of its worst sentence.
+words and masked letters read as the word meant.  Classes of terms near each other make up the
+lexicon's patterns.  Phrases of the exception list take out what they cover, quoted speech is not
+the document's own, and length is set off by scoring stretches: a sentence counts as its worst
+forty words, a document as its worst sentence, so nothing is diluted by the text around it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -20,194 +20,158 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.abuse_lexicon import DEFAULT, Lexicon
 from quillspan.llm.lookalike import canonical_batch
 
 #: A document scores at or above this if it is a case.
 THRESHOLD = 1.0
-#: Words of a sentence up to which weights count in full; beyond it they fall slowly.
-FULL_LENGTH = 40
-
-# ---- The lexicon: fixed values. ----
-#: Insults that need no context.
-INSULTS = (
-    "wanker|tosser|twat|bastard|arsehole|asshole|dickhead|shithead|shitheads|prick|prik|moron|idiot|imbecile|cretin|halfwit|scumbag|dumbass|dipshit|"
-    "motherfucker|cunt|bitch|slut|whore|retard|bellend|knobhead|fuckwit|gobshite|nonce|degenerate|vermin|subhuman|subhumans|wankers|tossers|twats|bastards|"
-    "arseholes|dickheads|pricks|morons|idiots|imbeciles|cretins|halfwits|scumbags|bitches|sluts|whores|retards|cunts"
-).split("|")
-#: Insults that are ordinary words; they count beside words that turn on a person.
-MILD_INSULTS = "pig|pigs|cow|rat|rats|parasite|parasites|scum|dog|leech|leeches|worm|worms|clown|clowns|liar|liars|loser|losers|fool|fools|trash|filth|stain|animals|turnips|stupid|dumb|ugly|pathetic|worthless|useless|disgusting|whining|lazy|lying|thick|fat".split("|")
-#: Words and phrases that turn an insult on somebody.
-AT_SOMEBODY = "you|your|youre|whoever|tell that|run by|another|she|he|her|his|they|them|all of you|somebody|the one who".split("|")
-#: Swearing, by itself half a case: it may be friendly.
-SWEARING = "fuck|fucking|fucked|fucker|shit|shitty|bullshit|piss|pissed|arse|bollocks|wank|bugger|crap".split("|")
-#: Swearing that is sent at somebody.
-SENT_AWAY = "fuck off|fuck you|piss off|go to hell|drop dead|shut up|get lost you|screw you|sod off|bugger off|up yours|eat shit|go fuck yourself|kill yourself|go die|rot in hell".split("|")
-#: Threats and wishes of harm.
-THREATS = (
-    "break your|smash your|slap you|kick him down|kick her down|kick you|should be slapped|should be shot|should be hanged|should be beaten|wait for you by|"
-    "know where she|know where he|know where you live|will be sorry|you will regret|you will pay|watch your back|choke on your|hope you choke|hope you die|"
-    "loses your job|lose your job|loses their job|would miss you|do us all a favour|kill you|beat you|burn your house|come for you|hurt you|"
-    "punch you|stab you|one by one|would happily kick|i will find you|cleaner without you|better off without you|better off dead|"
-    "somebody shut the|one dark night"
-).split("|")
-#: What degrades a group.
-DEGRADING = (
-    "breed like|animals by nature|not people like us|let them rot|locked up or worse|one less mouth|crawled from|born thieves|they stink|they spread disease|"
-    "spread disease on purpose|not even human|less than human|die of it first|half a brain|half a mind|too thick to|too dumb to|too ugly to|dirty habits|"
-    "no decent person wants them|back where they|back to where they|go back to your|keep foreigners out|keep them out|should not be allowed to breed|"
-    "ruin our|they are all thieves|inferior race|filthy foreigners|near my children|nobody should treat|no surgery for|would all be safer if|back under your stone|crawl back|"
-    "should be sterilised|should be sterilized|should be deported|should be put down|should be gassed|any more of them|makes me sick|ashamed of you|could not count their|fat useless|sent back to where|wiped out|a plague on"
-).split("|")
-#: Sexually explicit words and phrases.
-EXPLICIT = (
-    "blowjob|blowjobs|handjob|cock|cocks|dick pics|pussy|tits|titties|boobs|big boobs|horny|cum|cumming|came inside|shag|shagging|dripping wet|slid inside|"
-    "begged him not to stop|begged her not to stop|moaned for|screw her|screw him|naked girls|hot girls|nude girls|nudes|send nudes|dirty pics|dirty videos|"
-    "filthy videos|amateur sex|uncensored|busty|babes strip|strip for you|live on cam|adults only|tight ass|knickers|panties|bending you over|with my tongue|"
-    "want to fuck|rode his|climbed on top|until they both came|hardcore|porn|porno|xxx|orgasm|deepthroat|threesome|naked on cam|wet and filthy|sexy babes|anal sex|oral sex"
-).split("|")
-#: Phrases in which words of the lists above are meant otherwise.
-EXCEPTIONS = (
-    "sexually transmitted|sexual health|sex workers|sex worker|nude mice|stripping of the vein|verbal abuse|racist language|abusive letter|hate crime|"
-    "painful intercourse|erectile dysfunction|penile|anal cancer|anal cancers|breast cancer|breast screening|self harm|killing by another person|survivors of rape|"
-    "domestic abuse|damn good|bloody good|bloody marvellous|bloody brilliant|fucking brilliant|fucking marvellous|shit hot|lucky bastard|lucky bastards|clever bastard|clever bastards|"
-    "poor bastard|poor sod|crazy bastard|kick the bucket|guinea pig|guinea pigs|lab rats|rats and mice|pig farm|cash cow|cow s milk|cows milk|weather cock|"
-    "cock and bull|stop cock|shuttle cock|great tits|blue tits|blue tit|great tit|coal tits|fool proof|dog bite|dog bites|hook worm|ring worm|fat intake|saturated fat|low fat|body fat"
-).split("|")
-#: Weights of the lists.
-WEIGHTS = {"insult": 1.2, "mild": 0.4, "at": 0.3, "swearing": 0.5, "away": 1.2, "threat": 1.1, "degrading": 1.1, "explicit": 1.1}
+#: Words of the stretches that are scored.
+STRETCH = 40
+#: Sentences and tokens whose reading a worker remembers.
+MOST_KEPT = 100_000
+
 #: Characters written in place of letters.
 IN_PLACE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "$": "s", "@": "a", "!": "i", "€": "e", "£": "l", "|": "l"})
+#: Classes of single words that are written in disguise.
+DISGUISED = ("insult", "swear", "explicit", "mild", "mild noun", "sensual", "beast", "violent", "purge", "expel")
 
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
-_QUOTED = re.compile(r"[\"“«][^\"“”«»\n]{1,400}[\"”»]")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])")
+_QUOTED = re.compile(r"(?<![^\s(\[,:;–—-])[\"“«][^\"“”«»\n]+[\"”»](?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]{2}|(?:[^\W\d_][ .\-_*]){2,}[^\W\d_])(?![^\W_])")
 _TOKEN = re.compile(r"[^\s,;:()\"“”«»?]+")
 _MASKED = re.compile(r"^([a-z]+)([*#_]{2,})([a-z]+)$|^([a-z])([*#_]{2,})$")
 _STRETCHED = re.compile(r"(.)\1+")
 
 
-@dataclass(frozen=True)
-class Match:
-    kind: str
-    phrase: str
-    length: int
-
-
 def squeezed(word: str) -> str:
     """Without doubled letters, so a stretched word reads as the word."""
     return _STRETCHED.sub(r"\1", word)
 
 
-@lru_cache(1)
-def lexicon():
-    """The automaton over squeezed phrases, and single words by length, first and last letter."""
-    import ahocorasick
-
-    lists = {"insult": INSULTS, "mild": MILD_INSULTS, "at": AT_SOMEBODY, "swearing": SWEARING, "away": SENT_AWAY, "threat": THREATS, "degrading": DEGRADING, "explicit": EXPLICIT, "except": EXCEPTIONS}
-    entries: dict[str, Match] = {}
-    for kind, phrases in lists.items():
-        for p in phrases:
-            key = " ".join(squeezed(w) for w in p.split())
-            if kind == "except" or key not in entries:
-                entries[key] = Match(kind, p, len(key))
-    machine = ahocorasick.Automaton()
-    for key, m in entries.items():
-        machine.add_word(f" {key} ", m)
-    machine.make_automaton()
-    masked: dict[tuple[int, str, str], list[str]] = defaultdict(list)
-    plain = set()
-    for kind in ("insult", "swearing", "explicit", "mild", "degrading", "threat"):
-        for p in lists[kind]:
-            plain.update(squeezed(w) for w in p.split() if len(w) >= 4 or kind == "mild")
-            for w in p.split():
-                if len(w) >= 4 and kind not in ("degrading", "threat"):
-                    masked[len(w), w[0], w[-1]].append(w)
-    return machine, dict(masked), frozenset(plain)
-
-
-@lru_cache(100_000)
-def read_as(token: str) -> tuple[str, ...]:
-    """The words that a token reads as, squeezed."""
-    t = token.strip(".!-–—'’…")
-    return (squeezed(t),) if t.isalpha() else tuple(map(squeezed, _unmasked(t)))
-
-
-def _unmasked(t: str) -> list[str]:
-    m = _MASKED.match(t)
-    if m:  # letters masked by signs
-        _, masked, _ = lexicon()
-        if m[1]:
-            found = [w for w in masked.get((len(t), t[0], t[-1]), ()) if w.startswith(m[1]) and w.endswith(m[3])]
-        else:
-            found = [w for (n, first, _), ws in masked.items() if n == len(t) and first == t[0] for w in ws]
-        return found[:1] or [t.replace("*", "")]
-    if not t.isalpha():
+class Scorer:
+    """A lexicon's automaton and patterns, and what a worker has read with them."""
+
+    def __init__(self, lexicon: Lexicon):
+        import ahocorasick
+
+        terms: dict[str, set[tuple[str, str]]] = defaultdict(set)
+        for kind, listed in (*lexicon.classes.items(), ("", lexicon.exceptions)):
+            for p in filter(None, listed.split("|")):
+                terms[" ".join(squeezed(w) for w in p.split())].add((kind, p))
+        self.machine = ahocorasick.Automaton()
+        for key, of in terms.items():
+            self.machine.add_word(f" {key} ", (len(key.split()), sorted(of)))
+        self.machine.make_automaton()
+        self.patterns = [(name, lexicon.weights.get(name, w), kinds, gap) for name, w, kinds, gap in lexicon.patterns]
+        #: Classes that say something where no other is near: without one of them nothing is looked at.
+        self.telling = {kinds[0] for _, _, kinds, _ in lexicon.patterns if len(kinds) == 1} | {"mild", "mild noun", "taint", "lethal", "violent", "fate", "purge", "expel", "beast", "out", "violently"}
+        self.masked: dict[tuple[int, str, str], list[str]] = defaultdict(list)
+        self.plain: set[str] = set()
+        for kind in DISGUISED:
+            for w in (w for p in lexicon.classes.get(kind, "").split("|") for w in p.split()):
+                if len(w) >= 4 or kind.startswith("mild"):
+                    self.plain.add(squeezed(w))
+                if len(w) >= 4 and kind != "beast" and w not in self.masked[len(w), w[0], w[-1]]:
+                    self.masked[len(w), w[0], w[-1]].append(w)
+        self.read_as = lru_cache(MOST_KEPT)(self._read_as)
+        self.score = lru_cache(MOST_KEPT)(self._score)
+
+    def _read_as(self, token: str) -> tuple[str, ...]:
+        """The words that a token reads as, squeezed."""
+        t = token.strip(".!-–—'’…")
+        return (squeezed(t),) if t.isalpha() else tuple(map(squeezed, self._unmasked(t)))
+
+    def _unmasked(self, t: str) -> list[str]:
+        m = _MASKED.match(t)
+        if m:  # letters masked by signs
+            if m[1]:
+                found = [w for w in self.masked.get((len(t), t[0], t[-1]), ()) if w.startswith(m[1]) and w.endswith(m[3])]
+            else:
+                found = [w for (n, first, _), ws in self.masked.items() if n == len(t) and first == t[0] for w in ws]
+            return found[:1] or [t.replace("*", "")]
         if any(c.isalpha() for c in t) and any(c in "013457$@!€£|8" for c in t):
-            swapped = t.translate(IN_PLACE)
-            if squeezed(re.sub(r"[^a-z]", "", swapped)) in lexicon()[2]:
-                return [re.sub(r"[^a-z]", "", swapped)]
+            swapped = re.sub(r"[^a-z]", "", t.translate(IN_PLACE))
+            if squeezed(swapped) in self.plain:
+                return [swapped]
         return re.findall(r"[^\W_]+", t.replace("'", "").replace("’", ""))
-    return [t]
-
-
-def folded(sentence: str) -> list[str]:
-    """The words of a sentence as they are meant, lower-case and squeezed."""
-    s = sentence.casefold()
-    s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), s)
-    return [w for t in _TOKEN.findall(s) for w in read_as(t)]
-
-
-def sentence_score(sentence: str) -> tuple[float, list[str]]:
-    """(score, what was matched) of one sentence."""
-    words = folded(_QUOTED.sub(" ", sentence))
-    if not words:
-        return 0.0, []
-    text = f" {' '.join(words)} "
-    hits = [(end - m.length, end, m) for end, m in lexicon()[0].iter(text)]
-    spans = [(a, b) for a, b, m in hits if m.kind == "except"]
-    kept: dict[str, set[str]] = defaultdict(set)
-    for start, end, m in hits:
-        if m.kind != "except" and not any(a <= start and end <= b for a, b in spans):
-            kept[m.kind].add(m.phrase)
-    score = sum(WEIGHTS[k] * len(v) for k, v in kept.items() if k not in ("mild", "at"))
-    if kept["at"] and kept["mild"]:
-        score += WEIGHTS["at"] + WEIGHTS["mild"] * len(kept["mild"])
-    elif kept["mild"] and score:
-        score += WEIGHTS["mild"]
-    score *= min(1.0, (FULL_LENGTH / len(words)) ** 0.5)
-    return score, sorted(p for k, v in kept.items() if k not in ("mild", "at") for p in v)
-
-
-@lru_cache(100_000)
-def _scored(sentence: str) -> tuple[float, tuple[str, ...]]:
-    score, found = sentence_score(sentence)
-    return score, tuple(found)
-
-
-def document_score(text: str) -> tuple[float, int, list[str]]:
-    """(score of the worst sentence, sentences that are cases, what was matched in them)."""
-    worst, n, found = 0.0, 0, set()
-    for s in _SENTENCE.split(html.unescape(text) if "&" in text else text):
-        if s:
-            score, what = _scored(s)
-            worst = max(worst, score)
-            if score >= THRESHOLD:
-                n += 1
-                found.update(what)
-    return worst, n, sorted(found)
-
-
-def score_documents(documents: DataFrame, text: str = "text") -> DataFrame:
+
+    def folded(self, sentence: str) -> list[str]:
+        """The words of a sentence as they are meant, lower-case and squeezed."""
+        s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), sentence.casefold())
+        return [w for t in _TOKEN.findall(s) for w in self.read_as(t)]
+
+    def _score(self, sentence: str) -> tuple[float, tuple[str, ...], tuple[str, ...]]:
+        """(score, terms matched, patterns matched) of the worst stretch of one sentence."""
+        words = self.folded(sentence)
+        text = f" {' '.join(words)} "
+        found = list(self.machine.iter(text))
+        if not found:
+            return 0.0, (), ()
+        hits, spans = [], []
+        for end, (n, of) in found:
+            last = text.count(" ", 0, end)  # words before the term's end
+            for kind, term in of:
+                (hits if kind else spans).append((last - n, last, kind, term))
+        hits = sorted({h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, *_ in spans)})
+        if not any(h[2] in self.telling for h in hits):
+            return 0.0, (), ()
+        if len(words) <= STRETCH:
+            return self._stretch(hits)
+        return max((self._stretch([h for h in hits if a <= h[0] and h[1] <= a + STRETCH]) for a in {h[0] for h in hits}), default=(0.0, (), ()))
+
+    def _stretch(self, hits: list[tuple[int, int, str, str]]) -> tuple[float, tuple[str, ...], tuple[str, ...]]:
+        by: dict[str, list[tuple[int, int, str]]] = defaultdict(list)
+        for a, b, kind, term in hits:
+            by[kind].append((a, b, term))
+        score, terms, names = 0.0, set(), []
+        for name, weight, kinds, gap in self.patterns:
+            if not all(k in by for k in kinds):
+                continue
+            chains = [(h,) for h in by[kinds[0]]]
+            for k in kinds[1:]:
+                chains = [(*c, h) for c in chains for h in by[k] if 0 <= h[0] - c[-1][1] <= gap]
+                chains = list({(c[0], c[-1]): c for c in chains}.values())
+            if chains:
+                several = len({c[0][2] for c in chains}) if len(kinds) == 1 else 1
+                score += weight * several
+                names.append(name)
+                terms.update(h[2] for c in chains for h in c)
+        return round(score, 6), tuple(sorted(terms)), tuple(names)
+
+    def document(self, text: str) -> tuple[float, int, list[str], list[str]]:
+        """(score of the worst sentence, sentences that are cases, terms and patterns matched in them)."""
+        worst, n, terms, names = 0.0, 0, set(), set()
+        text = html.unescape(text) if "&" in text else text
+        own = _QUOTED.sub(" ", text)
+        if not re.search(r"[^\W_]", own):  # a quoted whole is what the document says
+            own = text
+        for s in _SENTENCE.split(own):
+            if s:
+                score, what, which = self.score(s)
+                worst = max(worst, score)
+                if score >= THRESHOLD:
+                    n += 1
+                    terms.update(what)
+                    names.update(which)
+        return worst, n, sorted(terms), sorted(names)
+
+
+def score_documents(documents: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT) -> DataFrame:
     """``documents`` with ``abuse_score`` (0 for null and empty texts), ``abusive_sentences``,
-    ``abuse_terms`` and ``abusive`` (score at or above THRESHOLD).
+    ``abuse_terms``, ``abuse_patterns`` and ``abusive`` (score at or above THRESHOLD).
 
     One pass over the rows, no shuffle.  Whole texts are read; repeated rows score alike.
     """
 
-    @F.pandas_udf("abuse_score double, abusive_sentences int, abuse_terms array<string>")
+    made: list[Scorer] = []
+
+    @F.pandas_udf("abuse_score double, abusive_sentences int, abuse_terms array<string>, abuse_patterns array<string>")
     def scored(texts: pd.Series) -> pd.DataFrame:
+        if not made:
+            made.append(Scorer(lexicon))
         one_form = canonical_batch(pa.array(texts, pa.large_string(), from_pandas=True)).to_pylist()
-        return pd.DataFrame([document_score(t) if t else (0.0, 0, []) for t in one_form], columns=["abuse_score", "abusive_sentences", "abuse_terms"])
+        rows = [made[0].document(t) if t else (0.0, 0, [], []) for t in one_form]
+        return pd.DataFrame(rows, columns=["abuse_score", "abusive_sentences", "abuse_terms", "abuse_patterns"])
 
     return documents.withColumn("__a", scored(F.col(text))).select("*", "__a.*").drop("__a").withColumn("abusive", F.col("abuse_score") >= THRESHOLD)
 
