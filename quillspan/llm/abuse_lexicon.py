@@ -133,7 +133,7 @@ PATTERNS = (
     ("mild mild", 0.6, ("mild", "mild"), 1),
     ("mild noun", 0.6, ("mild", "mild noun"), 1),
     ("they mild", 0.5, ("they", "mild"), 3),
-    ("they noun", 0.6, ("they", "mild noun"), 3),
+    ("they noun", 0.4, ("they", "mild noun"), 3),
     ("run noun", 1.0, ("run", "mild noun"), 2),
     ("noun away", 0.6, ("mild noun", "away"), 9),
     ("swear", 0.4, ("swear",), 0),
@@ -150,7 +150,8 @@ PATTERNS = (
     ("waste you", 0.4, ("you", "waste"), 12),
     ("waste they", 0.4, ("they", "waste"), 12),
     ("too", 0.8, ("too",), 0),
-    ("too group", 0.4, ("they", "too"), 6),
+    ("too they", 0.4, ("they", "too"), 6),
+    ("too group", 0.4, ("group", "too"), 4),
     ("group beast", 0.8, ("group", "is", "beast"), 3),
     ("brute", 0.6, ("brute",), 0),
     ("group brute", 0.5, ("group", "brute"), 5),
