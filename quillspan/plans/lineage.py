@@ -28,17 +28,17 @@ def bare(c: Column) -> Column:
 
 
 def merge_reason(a: Column, b: Column) -> Column:
-    """Why two names may be taken for one without review; null if somebody should look."""
-    long, short = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
-    bracket = F.regexp_extract(long, r"\s*([(\[][^()\[\]]*[)\]])\s*$", 1)
-    cut_off = F.regexp_replace(long, r"\s*[(\[][^()\[\]]*[)\]]\s*$", "")
-    form = lambda c: bare(F.regexp_replace(c, rf"(?i)[\s,.]*\b{FORMS}\.?$", ""))
-    return (
-        F.when((bare(a) == "") | (bare(b) == ""), F.lit(None).cast("string"))
-        .when(bare(a) == bare(b), "same name, differing only in punctuation, spacing or case")
-        .when((bracket != "") & (bare(cut_off) != "") & (bare(cut_off) == bare(short)), F.concat(F.lit("same name with "), bracket, F.lit(" appended")))
-        .when(form(a) == form(b), "same name, differing only in legal form")
+    """What alone tells two spellings of one name apart: ``letters`` (case, spacing, punctuation),
+    ``bracket`` (one ends with one) or ``form`` (the legal form); null if something else does, so
+    that somebody should look.  Names without letters and digits are nobody's."""
+    unbracketed = lambda c: bare(F.regexp_replace(c, r"[(\[][^()\[\]]*[)\]]\s*$", ""))
+    formless = lambda c: F.trim(F.regexp_replace(bare(c), rf"(?i)\b{FORMS}$", ""))
+    levels = F.array(
+        F.struct(F.lit("letters").alias("why"), (bare(a) == bare(b)).alias("holds")),
+        F.struct(F.lit("bracket").alias("why"), ((unbracketed(a) == bare(b)) | (unbracketed(b) == bare(a))).alias("holds")),
+        F.struct(F.lit("form").alias("why"), ((formless(a) == formless(b)) & (formless(a) != "")).alias("holds")),
     )
+    return F.when((bare(a) != "") & (bare(b) != ""), F.get(F.filter(levels, lambda x: x["holds"]), 0)["why"])
 
 
 def alias_groups(pairs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.compare import diff_blocks, display_name, normalise, redline_text, slugify, split_list, word_edits
+from quillspan.functions.compare import ACRONYMS, OWN_CAPITALS, SMALL_WORDS, diff_parts, display_name, normalise, redline_of, slugify, split_list, word_edits
 from quillspan.functions.text import END, START
 from quillspan.plans.base import Book, held
 from quillspan.sources.register import table
@@ -23,13 +23,43 @@ def x6_normalise(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "earlier_texts").select("text_id", normalise(F.col("text")).alias("normal"))
 
 
-@BOOK.add()
+@BOOK.add("""
+with p as (
+  select snapshot_id, regexp_extract_all(regexp_replace(array_to_string(controllers, ', '), ',(\s*(?i:INC|INCORPORATED|LTD|LIMITED|LLC|LLP|PLC|GMBH|CORP|CORPORATION|PTY|PTE|SARL|SRL|BV|NV)\b)', chr(1) || '\1', 'g'), '(?:[(\[][^()\[\]]*[)\]]|[^,;\n\r])+') as ps
+  from agreement_snapshots
+)
+select snapshot_id, list_filter(list_transform(ps, lambda v: trim(regexp_replace(replace(v, chr(1), ','), '\s+', ' ', 'g'))), lambda v: v <> '') as names from p
+""")
 def x9_split_list(spark: SparkSession, folder: str) -> DataFrame:
     cells = table(spark, folder, "agreement_snapshots").select("snapshot_id", F.array_join("controllers", ", ").alias("cell"))
     return cells.select("snapshot_id", split_list(F.col("cell")).alias("names"))
 
 
-@BOOK.add()
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in sorted(xs)) + "]"
+_OWN = " ".join(f"when w = '{k}' then '{v}'" for k, v in OWN_CAPITALS.items())
+_CAP = "(upper(substr({w}, 1, 1)) || lower(substr({w}, 2)))"
+_X12 = f"""
+with n as (select name_id, coalesce(party_name, '') as given from party_names),
+c as (select name_id, case when regexp_matches(given, '\\s[-–]\\s+[A-Z0-9]*[0-9][A-Z0-9]*$') then rtrim(regexp_replace(given, '\\s+[-–]\\s+[A-Z0-9]*[0-9][A-Z0-9]*$', '')) else given end as name from n),
+p as (select name_id, name, regexp_extract_all(name, '[\\pL\\pN&]+|[^\\pL\\pN&]+') as ps from c),
+t as (select name_id, name, unnest(ps) as w, unnest(range(1, len(ps) + 1)) as i, unnest(list_concat([''], ps[:-2])) as before from p),
+u as (
+  select name_id, i, case
+    when not regexp_matches(w, '[\\pL\\pN&]') then w
+    {_OWN}
+    when regexp_matches(before, '[''’]$') and w = 'S' then 's'
+    when list_contains({_LIST(ACRONYMS)}, w) or length(w) = 1 or regexp_matches(w, '[&0-9]') then w
+    when list_contains({_LIST(SMALL_WORDS)}, lower(w)) and not (i = 1 or regexp_matches(before, '[(\\[]') or regexp_matches(before, '\\s[-–—]\\s*$') or (i = 2 and not regexp_matches(before, '\\w'))) then lower(w)
+    when regexp_matches(w, '^MC[A-Z]{{3,}}$') then 'Mc' || {_CAP.format(w="substr(w, 3)")}
+    else {_CAP.format(w="w")} end as w
+  from t
+),
+j as (select name_id, string_agg(w, '' order by i) as joined from u group by name_id)
+select c.name_id, case when name = upper(name) and name <> lower(name) then joined else name end as shown from c left join j using (name_id)
+"""
+
+
+@BOOK.add(_X12)
 def x12_display_name(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "party_names").select("name_id", display_name(F.col("party_name")).alias("shown"))
 
@@ -46,19 +76,22 @@ def rewritten(spark: SparkSession, folder: str, field: str) -> DataFrame:
 
 @BOOK.add()
 def d9_word_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """What was taken out of and put into the objective, run by run, and the words that stayed."""
     r = rewritten(spark, folder, "objective").withColumn("e", word_edits(F.col("was"), F.col("now")))
-    return r.select("no", "key", F.col("e.kept").alias("kept"), F.explode_outer("e.edits").alias("x")).select("no", "key", "kept", "x.removed", "x.added")
+    kept = F.aggregate("e", F.lit(0), lambda n, x: n + x["kept"])
+    return r.select("no", "key", kept.alias("kept"), F.explode_outer(F.filter("e", lambda x: x["kept"] == 0)).alias("x")).select("no", "key", "kept", F.col("x.was").alias("removed"), F.col("x.now").alias("added"))
 
 
 @BOOK.add()
 def d11_diff_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    r = rewritten(spark, folder, "expected_benefits")
-    return r.select("no", "key", F.explode(diff_blocks(F.col("was"), F.col("now"))).alias("b")).select("no", "key", "b.*")
+    """Paragraphs of the expected benefits that were removed, added and reworded, and how."""
+    return rewritten(spark, folder, "expected_benefits").select("no", "key", F.inline(diff_parts(F.col("was"), F.col("now"))))
 
 
 @BOOK.add()
 def d12_redline(spark: SparkSession, folder: str) -> DataFrame:
-    return rewritten(spark, folder, "objective").select("no", "key", redline_text(F.col("was"), F.col("now")).alias("redline"))
+    r = rewritten(spark, folder, "objective").select("no", "key", diff_parts(F.col("was"), F.col("now")).alias("parts"))
+    return r.select("no", "key", redline_of(F.col("parts")).alias("redline"))
 
 
 #: Phrases that a plain style does without, by name.

@@ -13,19 +13,19 @@ def one(spark, values, column):
 
 
 @pytest.mark.parametrize(
-    ("summary", "source", "flags"),
+    ("summary", "source", "checks"),
     [
-        ("The study uses records.", "the study", []), ("", "x", ["empty"]), (None, "x", ["empty"]), ("The data was not yet released to Leeds.", "leeds", ["says whether data was released"]),
-        ("A study by Kings College.", "a study by leeds college", ["names not in the text: Kings"]), ("word " * 91, "word", ["long: 91 words"]),
+        ("Some study of records", "some study", {}), (" ", "x", {"empty": ""}), (None, "x", {"empty": ""}), ("So far nothing: the tables were not yet sent to Orkney.", "orkney", {"release": ""}),
+        ("It is not known. Tables were shared.", "", {}), ("Run by Orkney's nurses.", "nurses of shetland", {"unknown": "Orkney"}), ("w " * 120, "w", {"length": "120"}),
     ],
 )
-def test_flags(spark, summary, source, flags):
-    assert one(spark, (summary, source), G.flags) == flags
+def test_flags(spark, summary, source, checks):
+    assert {x.check: x.detail for x in one(spark, (summary, source), G.flags)} == checks
 
 
 def test_drift(spark):
-    assert one(spark, ("In Leeds, 40 people at Kings took part", "At Kings, 45 people in York took part"), G.drift) == ["rewording added: 45, York", "rewording dropped: 40, Leeds"]
-    assert one(spark, ("same Text 1", "same Text 1"), G.drift) == []
+    assert [tuple(x) for x in one(spark, ("The 12 wards of Orkney closed", "The 14 wards of Shetland closed"), G.drift)] == [("added", "14, Shetland"), ("lost", "12, Orkney")]
+    assert one(spark, ("Nothing new in 3", "Nothing new in 3"), G.drift) == [] == one(spark, (None, None), G.drift)
 
 
 def test_cut_and_hash(spark):
@@ -41,6 +41,6 @@ def test_needing_and_estimate(spark):
 
 
 def test_spelling_variants(spark):
-    got = one(spark, ("York and Leeds Hospital NHS TRUST (YLH)",), G.spelling_variants)
-    assert "York & Leeds Hospital NHS TRUST" in got and "York and Leeds Hospital NHS Foundation Trust" in got and "York and Leeds Hospitals NHS TRUST (YLH)" in got
-    assert "York and Leeds Hospital NHS TRUST (YLH)" not in got
+    got = one(spark, ("Hill & Dale Hospitals NHS Trust (HD)",), G.spelling_variants)
+    assert {"Hill and Dale Hospitals NHS Trust (HD)", "Hill & Dale Hospital NHS Foundation Trust", "Hill and Dale Hospital NHS Trust"} <= set(got)
+    assert "Hill & Dale Hospitals NHS Trust (HD)" not in got and one(spark, ("Plain",), G.spelling_variants) == []

@@ -38,8 +38,8 @@ def test_relations(spark, tables):
 @pytest.mark.parametrize(
     ("a", "b", "reason"),
     [
-        ("ST GEORGE'S", "St Georges", None), ("A & B", "a b", "same name, differing only in punctuation, spacing or case"), ("Morbidity Survey", "Morbidity Survey (APMS)", "same name with (APMS) appended"),
-        ("NEC Software Limited", "NEC Software", "same name, differing only in legal form"), ("NHS Sussex", "NHS Surrey and Sussex", None), ("", "x", None),
+        ("HILL & DALE", "hill dale", "letters"), ("Dale Cohort [2nd wave]", "dale cohort", "bracket"), ("Dale Cohort", "Dale Cohort (DC)", "bracket"), ("Hill Data Ltd.", "HILL DATA", "form"),
+        ("Hill", "Hills", None), ("Ltd", "PLC", None), ("", "x", None), (None, "x", None),
     ],
 )
 def test_merge_reason(spark, a, b, reason):
