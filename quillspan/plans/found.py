@@ -162,6 +162,22 @@ pairs as (
   from st a full outer join st b on a.key = b.key and a.seq + 1 = b.seq
 )
 select e.edition, p.reference, p.change_kind from pairs p join eds e on e.seq = p.seq where p.seq > 1 and p.change_kind is not null
+""",
+    "p1_changed_values": "with " + _HELD + f"""
+st as (select h.key, e.seq, e.edition, h.objective, h.end_date, {_STATE} as state from held h join eds e using (no)),
+pairs as (
+  select coalesce(b.key, a.key) as reference, coalesce(b.seq, a.seq + 1) as seq, a.objective as old_objective, b.objective as new_objective, a.end_date as old_end_date, b.end_date as new_end_date,
+         case when a.key is null then 'added' when b.key is null then 'removed' when a.state <> b.state then 'changed' end as change_kind
+  from st a full outer join st b on a.key = b.key and a.seq + 1 = b.seq
+)
+select e.edition, p.* exclude (seq) from pairs p join eds e on e.seq = p.seq where p.seq > 1 and p.change_kind is not null
+""",
+    "p3_history": "with " + _HELD + """
+v as (select h.key, e.seq, objective, end_date, [coalesce(objective, ''), coalesce(end_date, '')] as val from held h join eds e using (no)),
+m as (select *, case when lag(seq) over w = seq - 1 and lag(val) over w = val then 0 else 1 end as opens from v window w as (partition by key order by seq)),
+r as (select *, sum(opens) over (partition by key order by seq rows unbounded preceding) as run from m),
+g as (select key, run, min(seq) as a, max(seq) as b, arg_min(struct_pack(o := objective, e := end_date), seq) as x from r group by all)
+select g.key as reference, f.edition as valid_from, coalesce(t.edition, '') as valid_to, x.o as objective, x.e as end_date from g join eds f on f.seq = g.a left join eds t on t.seq = g.b + 1
 """,
     "p2_found": "with " + _HELD + _P2_INPUT + """
 select span_source, base_reference, dataset, 'period' as span_kind, strftime(s, '%Y-%m-%d') as from_date, strftime(e, '%Y-%m-%d') as to_date from nxt

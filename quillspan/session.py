@@ -49,8 +49,20 @@ def work_path(spark: SparkSession, what: str) -> str:
 def cleanup(spark: SparkSession) -> None:
     """Delete the working tables of this session; frames that read them cannot be run any more."""
     for at in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        p = spark._jvm.org.apache.hadoop.fs.Path(at)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, at)
+
+
+def discard(spark: SparkSession, ending: str) -> None:
+    """Delete the working table whose path ends so, ahead of the others."""
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for at in [w for w in written if w.endswith(ending)]:
+        _delete(spark, at)
+        written.remove(at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(at)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 
 from quillspan.operators import history
-from quillspan.operators.snapshot_diff import diff_snapshots, with_values
+from quillspan.operators.snapshot_diff import SnapshotIndex, diff_snapshots, with_values
 
 SCHEMA = "snapshot_id long, edition string, delivered_at timestamp_ntz, reference string, objective string, end_date string, controllers array<string>, edition_no int, key string"
 COLUMNS = ("objective", "end_date", "controllers")
@@ -48,6 +48,35 @@ def test_added_removed_changed(spark):
     ]
 
 
+def test_probing_and_swapping_gives_the_same_as_the_replay(spark):
+    from pyspark.sql import functions as F
+    from quillspan.functions.dates import edition_no
+    from quillspan.sources.register import editions_of
+
+    r = rows(spark, DATA)
+    index, got = SnapshotIndex(spark, COLUMNS, 3), []
+    for no, label in editions_of(r):
+        got += found(index.probe(r.filter(edition_no(F.col("edition")) == no), label))
+        with pytest.raises(ValueError):
+            index.probe(r, label)
+        index.swap()
+        assert index.edition == label
+        assert [t.name for t in spark.catalog.listTables() if t.name.startswith("quillspan_")] == [index.last]
+    assert sorted(got) == found(diff_snapshots(r, COLUMNS))
+    index.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quillspan_")]
+
+
+def test_the_probe_shuffles_nothing(spark):
+    r = rows(spark, DATA)
+    index = SnapshotIndex(spark, COLUMNS, 3)
+    index.probe(r.limit(2), "a").collect()
+    index.swap()
+    plan = index.probe(r, "b")._jdf.queryExecution().executedPlan().toString()
+    index.drop()
+    assert "Exchange" not in plan or "BroadcastExchange" in plan
+
+
 def test_old_and_new_values_of_changes_alone(spark):
     r = rows(spark, DATA)
     got = {(x.edition, x.reference): (x.old_objective, x.new_objective) for x in with_values(diff_snapshots(r, COLUMNS), r, ("objective",)).collect()}
