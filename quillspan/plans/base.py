@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.dates import edition_no, parse_day, parse_month
 from quillspan.functions.text import clean_line, iso, name_key
 from quillspan.plans.found import _DAY, _HELD
-from quillspan.sources.register import base_of, editions_of, reference_key, table, version_key, version_of
+from quillspan.sources.register import base_of, newest_edition, reference_key, table, version_key, version_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,13 +43,13 @@ def held(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 def last_edition(spark: SparkSession, folder: str) -> int:
     """The newest edition; the editions are few by nature."""
-    return editions_of(table(spark, folder, "agreement_snapshots"))[-1][0]
+    return newest_edition(table(spark, folder, "agreement_snapshots"))[0]
 
 
 def latest(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """The versions of the newest edition; older editions are filtered out before the shuffle."""
-    no = last_edition(spark, folder)
-    rows = table(spark, folder, "agreement_snapshots").filter(edition_no(F.col("edition")) == no)
+    """The versions of the newest edition; older editions are left out by the scan itself."""
+    snapshots = table(spark, folder, "agreement_snapshots")
+    rows = snapshots.filter(F.col("edition").isin(newest_edition(snapshots)[1]))
     picked = rows.select(reference_key(F.col("reference")).alias("key"), F.struct("delivered_at", "snapshot_id").alias("__w"), F.struct(*columns or ["snapshot_id"]).alias("__r")).filter("key <> ''")
     best = picked.groupBy("key").agg(F.max_by("__r", "__w").alias("__r"))
     return best.select("key", base_of(F.col("key")).alias("base"), version_of(F.col("key")).alias("version"), "__r.*").withColumn("vkey", version_key(F.col("version")))

@@ -3,13 +3,15 @@ what changed between editions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.dates import edition_no
 from quillspan.functions.text import clean_line, name_key
 from quillspan.plans.base import HELD, NO_SQL, Book, dataset_rows, held, line_sql
-from quillspan.sources.register import STATE_COLUMNS, base_of, reference_key, table
+from quillspan.operators.snapshot_diff import values_of
+from quillspan.session import cut
+from quillspan.sources.register import STATE_COLUMNS, base_of, reference_key, table, version_key, version_of
 
 BOOK = Book()
 
@@ -19,11 +21,35 @@ SCALARS = ("title", "organisation", "organisation_type", "controller_basis", "st
 _STATE_SQL = "[" + ", ".join(f"coalesce({c}, '')" if c != "controllers" else "array_to_string(coalesce(controllers, []), chr(1)) || len(coalesce(controllers, []))" for c in STATE_COLUMNS) + "]"
 
 
+def digests(spark: SparkSession, folder: str, digest: Column) -> DataFrame:
+    """``no, key, base, digest, row_id`` of the row that holds per edition and reference.  The digest
+    is made at the scan, so no text is ever shuffled."""
+    rows = table(spark, folder, "agreement_snapshots").select(
+        edition_no(F.col("edition")).alias("no"), reference_key(F.col("reference")).alias("key"), F.struct("delivered_at", "snapshot_id").alias("w"), F.struct(digest.alias("digest"), F.col("snapshot_id").alias("row_id")).alias("r")
+    )
+    best = rows.filter("no is not null and key <> ''").groupBy("no", "key").agg(F.max_by("r", "w").alias("r"))
+    return best.select("no", "key", base_of(F.col("key")).alias("base"), "r.*")
+
+
 def states(spark: SparkSession, folder: str) -> DataFrame:
     """``no, key, base, state``: the state of each reference in each edition as a digest."""
-    rows = held(spark, folder, *STATE_COLUMNS)
     values = [F.coalesce(F.col(c), F.lit("")) if c != "controllers" else F.to_json(F.coalesce(c, F.array().cast("array<string>"))) for c in STATE_COLUMNS]
-    return rows.select("no", "key", "base", F.sha2(F.to_json(F.struct(*[v.alias(c) for c, v in zip(STATE_COLUMNS, values, strict=True)])), 256).alias("state"))
+    return digests(spark, folder, F.sha2(F.to_json(F.struct(*[v.alias(c) for c, v in zip(STATE_COLUMNS, values, strict=True)])), 256)).withColumnRenamed("digest", "state").drop("row_id")
+
+
+def differing(spark: SparkSession, folder: str, *fields: str) -> DataFrame:
+    """``no, key, was, now`` of every reference of which one of the fields differs from the edition
+    before; ``was`` and ``now`` are structs of the fields.  Digests are compared first, and texts
+    fetched by row id for those that differ alone."""
+    d = digests(spark, folder, F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in fields])), 256))
+    pairs = d.select("no").distinct().select("no", F.lag("no").over(Window.orderBy("no")).alias("prev"))  # editions are months: few
+    last = F.lag(F.struct("no", "digest", "row_id")).over(Window.partitionBy("key").orderBy("no"))
+    found = cut(d.withColumn("l", last).join(F.broadcast(pairs), "no").filter("l.no = prev and l.digest <> digest").select("no", "key", F.col("l.row_id").alias("old_row"), F.col("row_id").alias("new_row")))
+    wanted = cut(found.select(F.explode(F.array("old_row", "new_row")).alias("row_id")).distinct())
+    values = values_of(table(spark, folder, "agreement_snapshots"), wanted, fields).select("row_id", F.struct(*fields).alias("v"))
+    for side, name in (("old_row", "was"), ("new_row", "now")):
+        found = found.join(values.select(F.col("row_id").alias(side), F.col("v").alias(name)), side)
+    return found.select("no", "key", "was", "now")
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -181,12 +207,12 @@ def u2_list_change(spark: SparkSession, folder: str) -> DataFrame:
 _COMBO = "concat_ws('/', type_of_data, sensitivity, confidentiality)"
 
 
-@BOOK.add(HELD + f", c as (select base, key, name_key, list_sort(list(distinct {_COMBO})) as combos from dat group by all), v as (select *, lag(combos) over (partition by base, name_key order by key) as was, lag(key) over (partition by base, name_key order by key) as older from c) select base, name_key, older, key as newer, array_to_string(was, '|') as was, array_to_string(combos, '|') as now from v where older is not null and was <> combos")
+@BOOK.add(HELD + f", c as (select base, key, name_key, list_sort(list(distinct {_COMBO})) as combos, list_transform(string_split(nullif(regexp_extract(key, '-V([0-9]+(\\.[0-9]+)?)$', 1), ''), '.'), lambda x: cast(x as int)) as vkey from dat group by all), v as (select *, lag(combos) over w as was, lag(key) over w as older from c window w as (partition by base, name_key order by coalesce(vkey, [0]), key)) select base, name_key, older, key as newer, array_to_string(was, '|') as was, array_to_string(combos, '|') as now from v where older is not null and was <> combos")
 def d8_attribute_change(spark: SparkSession, folder: str) -> DataFrame:
     """Data set attributes that differ between neighbouring versions of an agreement."""
     combo = F.concat_ws("/", "type_of_data", "sensitivity", "confidentiality")
     c = dataset_rows(spark, folder).groupBy("base", "key", "name_key").agg(F.sort_array(F.collect_set(combo)).alias("combos"))
-    w = Window.partitionBy("base", "name_key").orderBy("key")
+    w = Window.partitionBy("base", "name_key").orderBy(version_key(version_of(F.col("key"))), "key")
     v = c.withColumn("l", F.lag(F.struct("key", "combos")).over(w)).filter("l is not null and l.combos <> combos")
     return v.select("base", "name_key", F.col("l.key").alias("older"), F.col("key").alias("newer"), F.array_join("l.combos", "|").alias("was"), F.array_join("combos", "|").alias("now"))
 
@@ -245,14 +271,10 @@ def change_kinds(spark: SparkSession, folder: str) -> DataFrame:
     digest differs are compared field by field."""
     fields = (*SCALARS, *PROSE)
     plain = lambda c: F.lower(F.translate(clean_line(c), "‘’“”–—", "''\"\"--"))
-    b = held(spark, folder, *fields)
-    pairs = b.select("no").distinct().select("no", F.lag("no").over(Window.orderBy("no")).alias("prev"))  # editions are months: few
-    digest = F.xxhash64(*[F.coalesce(c, F.lit("")) for c in fields])
-    w = Window.partitionBy("key").orderBy("no")
-    j = b.withColumn("h", digest).join(F.broadcast(pairs), "no").withColumn("l", F.lag(F.struct("no", "h", *fields)).over(w)).filter("l.no = prev and l.h <> h")
+    j = differing(spark, folder, *fields)
 
     def kind(c: str):
-        was, now = F.coalesce(F.col(f"l.{c}"), F.lit("")), F.coalesce(F.col(c), F.lit(""))
+        was, now = F.coalesce(F.col(f"was.{c}"), F.lit("")), F.coalesce(F.col(f"now.{c}"), F.lit(""))
         return F.when(was == now, F.lit(None)).when(plain(was) == plain(now), "cosmetic").when(clean_line(was) == "", "filled in").when(clean_line(now) == "", "emptied").otherwise("changed")
 
     each = F.filter(F.array(*[F.struct(F.lit(c).alias("field"), kind(c).alias("kind")) for c in fields]), lambda x: x["kind"].isNotNull())

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.compare import ACRONYMS, OWN_CAPITALS, SMALL_WORDS, diff_parts, display_name, normalise, redline_of, slugify, split_list, word_edits
 from quillspan.functions.text import END, START
-from quillspan.plans.base import Book, held
+from quillspan.plans.base import Book
+from quillspan.plans.store import differing
 from quillspan.sources.register import table
 
 BOOK = Book()
@@ -66,12 +67,8 @@ def x12_display_name(spark: SparkSession, folder: str) -> DataFrame:
 
 def rewritten(spark: SparkSession, folder: str, field: str) -> DataFrame:
     """``no, key, was, now`` of every reference whose field changed from one edition to the next."""
-    h = held(spark, folder, field).select("no", "key", F.coalesce(field, F.lit("")).alias("now"))
-    e = h.select("no").distinct()
-    pairs = e.select("no", F.lag("no").over(Window.orderBy("no")).alias("prev"))  # editions are months: few
-    w = Window.partitionBy("key").orderBy("no")
-    j = h.join(F.broadcast(pairs), "no").withColumn("l", F.lag(F.struct("no", "now")).over(w))
-    return j.filter("l.no = prev and l.now <> now").select("no", "key", F.col("l.now").alias("was"), "now")
+    blank = lambda side: F.coalesce(F.col(f"{side}.{field}"), F.lit("")).alias(side)
+    return differing(spark, folder, field).select("no", "key", blank("was"), blank("now"))
 
 
 @BOOK.add()

@@ -65,3 +65,11 @@ def editions_of(df: DataFrame) -> list[tuple[int, str]]:
     if len(rows) > MOST_EDITIONS:
         raise ValueError(f"more than {MOST_EDITIONS} editions")
     return sorted((r.no, r.edition) for r in rows)
+
+
+def newest_edition(df: DataFrame) -> tuple[int, list[str]]:
+    """(number, labels as written) of the newest edition in ``df``: a filter by these labels, unlike
+    one by the number they are read as, reaches the scan.  Of an empty table (-1, [])."""
+    no = edition_no(F.col("edition"))
+    row = df.select("edition", no.alias("no")).filter("no is not null").groupBy("no").agg(F.collect_set("edition").alias("labels")).orderBy(F.desc("no")).limit(1).collect()
+    return (row[0].no, row[0].labels) if row else (-1, [])
