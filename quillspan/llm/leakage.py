@@ -342,14 +342,19 @@ def best_run(cells: Cells, words: int) -> tuple[float, float, int, int, bool] |
     length: dict[tuple[int, int], int] = {}
     before: dict[tuple[int, int], tuple[int, int] | None] = {}
     inner = set()
+    longest = 0
     for q, p in order:
-        best, via = 0, None
-        for dq in range(1, MOST_GAP + 2):
-            for dp in range(1, MOST_GAP + 2):
-                n = length.get((q - dq, p - dp), 0)
-                if n > best:
-                    best, via = n, (q - dq, p - dp)
+        via = (q - 1, p - 1)
+        best = length.get(via, 0)
+        if not best or best < longest:  # no chain is longer than the longest
+            best, via = 0, None
+            for dq in range(1, MOST_GAP + 2):
+                for dp in range(1, MOST_GAP + 2):
+                    n = length.get((q - dq, p - dp), 0)
+                    if n > best:
+                        best, via = n, (q - dq, p - dp)
         length[q, p], before[q, p] = best + 1, via
+        longest = max(longest, best + 1)
         inner.add(via)
     need = LEAST_SHARE * words - 1e-9
     found = None
@@ -392,6 +397,8 @@ def _densest(chain: list[tuple[int, int]], same: np.ndarray, need: float) -> tup
     best, at = 0, None
     for i in range(len(chain)):
         span = p[i:] - p[i] + 1
+        if span[-1] <= best:
+            break
         wide = np.maximum(span, q[i:] - q[i] + 1)
         fits = np.flatnonzero((span >= need) & (total[i + 1 :] - total[i] >= LEAST_DENSITY * wide))
         if len(fits) and span[fits[-1]] > best:
