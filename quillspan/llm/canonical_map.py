@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,32 @@ def shortens(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
+class NearWords:
+    """The words of a list by length, with how often they hold each letter, so that the words within
+    a few slips of another are sought among those whose letters are as near."""
+
+    def __init__(self, words: list[str]):
+        by: dict[int, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            by[len(w)].append(i)
+        self.words = words
+        self.by_length = {n: (np.array(at), np.stack([self.letters(words[i]) for i in at])) for n, at in by.items()}
+
+    @staticmethod
+    def letters(word: str) -> np.ndarray:
+        return np.bincount([ord(c) % 32 for c in word], minlength=32).astype(np.int16)
+
+    def within(self, word: str, most: int) -> list[str]:
+        """The words of which ``most`` slips may make ``word``, in the list's order; no such word is missed."""
+        own, found = self.letters(word), []
+        for n in range(max(1, len(word) - most), len(word) + most + 1):
+            if n in self.by_length:
+                at, letters = self.by_length[n]
+                apart = np.abs(letters - own).sum(axis=1)  # one slip changes two letters' counts at most
+                found += at[apart <= 2 * most].tolist()
+        return [self.words[i] for i in sorted(found)]
+
+
 class ReferenceList:
     """Entries, the aliases derived from them, and the automaton over both."""
 
@@ -108,6 +135,12 @@ class ReferenceList:
         count = Counter(w for long, _ in self.parts.values() for w in set(long))
         self.vocabulary = sorted(count, key=lambda w: (-count[w], w))
         self.codes = {w for _, short in self.parts.values() for w in short}
+        self.known = frozenset(self.vocabulary)
+        self.near = NearWords([w for w in self.vocabulary if len(w) >= 4])
+        self.holding: dict[str, list[int]] = defaultdict(list)
+        for key, (long, _) in self.parts.items():
+            for w in set(long) - NOISE:
+                self.holding[w].append(key)
         self.by_first: dict[str, list[str]] = defaultdict(list)
         for w in self.vocabulary:
             self.by_first[w[0]].append(w)
@@ -125,21 +158,22 @@ class ReferenceList:
     def settle(self, word: str) -> str:
         """The list's own word that ``word`` stands for, or ``word`` itself."""
         if word not in self.fixed:
+            if len(self.fixed) >= MOST_KEPT:
+                self.fixed.clear()
             self.fixed[word] = self._settle(word)
         return self.fixed[word]
 
     def _settle(self, word: str) -> str:
         if word in self.codes or word in NOISE or any(c.isdigit() for c in word) or len(word) < 3:
             return word
+        if word in self.known:
+            return word
         near = []
-        for w in self.vocabulary:
-            if w == word:
-                return word
-            if min(len(w), len(word)) >= 4:
-                allowed = 1 if len(w) < 6 else 2 if len(w) < 9 else 3
-                d = slips(word, w, allowed)
-                if d <= allowed:
-                    near.append((d, w[0] != word[0], w))
+        for w in self.near.within(word, 3) if len(word) >= 4 else ():
+            allowed = 1 if len(w) < 6 else 2 if len(w) < 9 else 3
+            d = slips(word, w, allowed)
+            if d <= allowed:
+                near.append((d, w[0] != word[0], w))
         short = [w for w in self.by_first[word[0]] if shortens(word, w)]
         if near and (min(near)[0] == 1 or not short):
             return min(near)[2]
@@ -206,11 +240,13 @@ class ReferenceList:
     def _near(self, word: str) -> dict[str, float]:
         """The list's words near ``word``, each with how near: 1 is the word itself."""
         if word not in self.soft:
-            near = {word: 1.0} if word in self.vocabulary else {}
+            if len(self.soft) >= MOST_KEPT:
+                self.soft.clear()
+            near = {word: 1.0} if word in self.known else {}
             if len(word) >= 4 and not near:
-                for w in self.vocabulary:
+                for w in self.near.within(word, max(2, len(word) // 3)):
                     allowed = 1 if min(len(w), len(word)) < 5 else max(2, min(len(w), len(word)) // 3)
-                    d = slips(word, w, allowed) if len(w) >= 4 else allowed + 1
+                    d = slips(word, w, allowed)
                     if d <= allowed:
                         near[w] = 1 - d / max(len(w), len(word))
                 for w in self.by_first[word[0]]:
@@ -220,14 +256,17 @@ class ReferenceList:
         return self.soft[word]
 
     def _similar(self, given: list[str]) -> tuple[int, str, float]:
-        """Token sets compared: a word counts by how near it is to the entry's own."""
+        """Token sets compared: a word counts by how near it is to the entry's own.  Only entries that
+        hold a word near one of the value's are looked at; all others have nothing in common."""
         told = [t for t in dict.fromkeys(given) if t not in NOISE and t not in self.codes and not any(c.isdigit() for c in t)]
         best = (0.0, 0)
-        for key, (long, _) in self.parts.items():
-            own = set(long) - NOISE
-            if not own or not told:
-                continue
-            same = [max((self._near(t).get(w, 0.0) for t in told), default=0.0) for w in own]
+        nearest: dict[str, float] = {}
+        for t in told:
+            for w, how in self._near(t).items():
+                nearest[w] = max(nearest.get(w, 0.0), how)
+        for key in sorted({k for w in nearest for k in self.holding.get(w, ())}):
+            own = set(self.parts[key][0]) - NOISE
+            same = [nearest.get(w, 0.0) for w in own]
             score = 2 * sum(same) / (len(own) + len(told))
             if (score, -key) > (best[0], -best[1]):
                 best = (score, key)
