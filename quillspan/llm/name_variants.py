@@ -215,8 +215,10 @@ def link_names(rows: DataFrame, key: str, name: str) -> DataFrame:
     """``<key>, entity, rarity``: one row per row of ``rows``; rows with the same ``entity`` name
     the same body or person.
 
-    ``rarity`` is the number of different full names that share the linking form; a name known
-    by an initial alone is linked only if it is 1, else it stands with the names written alike.
+    ``rarity`` is the number of names that share the linking form, the rarer the stronger: for a name
+    in full the names that are rewritten to it, for one known by an initial the bodies or persons
+    it may stand for; the latter is linked only if that is 1, else it stands with the names written
+    alike.
     Names that are null or have no letter or digit stand alone.  Repeated rows share their
     entity.  Every name is compared through all its forms; nothing is capped.
     """
@@ -234,13 +236,14 @@ def link_names(rows: DataFrame, key: str, name: str) -> DataFrame:
     lone = read.filter("n = 1").select("form", F.explode(_struck("form")).alias("rest"))
     shared = support.select(F.col("form").alias("meant"), "n", F.explode(_struck("form")).alias("rest"))
     slip = lone.join(shared, "rest").filter("n > 1 or meant < form").select("form", "meant", "n").distinct().filter(_slips("form", "meant") == 1).groupBy("form").agg(F.min_by("meant", F.struct((-F.col("n")).alias("n"), "meant")).alias("meant"))
-    entity = cut(read.join(slip, "form", "left").select("id", F.coalesce("meant", "form").alias("entity")))
+    slip = slip.join(support.select(F.col("form").alias("meant"), F.col("n").alias("meant_n")), "meant")
+    entity = cut(read.join(slip, "form", "left").select("id", F.coalesce("meant", "form").alias("entity"), F.coalesce("meant_n", "n").alias("rarity")))
     # what an initial may stand for
     initials = each.filter("form like 'i:%'")
-    owners = initials.join(entity, "id").groupBy("form").agg(F.countDistinct("entity").alias("rarity"), F.min("entity").alias("owner"))
+    owners = initials.join(entity.drop("rarity"), "id").groupBy("form").agg(F.countDistinct("entity").alias("rarity"), F.min("entity").alias("owner"))
     alone = initials.join(entity, "id", "left_anti").join(owners, "form", "left")
     short = alone.select("id", F.when(F.col("rarity") == 1, F.col("owner")).otherwise(F.col("form")).alias("entity"), F.coalesce("rarity", F.lit(0)).alias("rarity"))
-    named = entity.withColumn("rarity", F.lit(1).cast("long")).unionByName(short)
+    named = entity.unionByName(short)
     return given.join(named, "id", "left").select(F.col("id").alias(key), F.coalesce("entity", F.concat(F.lit("?:"), F.col("id").cast("string"))).alias("entity"), F.coalesce("rarity", F.lit(0)).alias("rarity"))
 
 
