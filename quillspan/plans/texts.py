@@ -24,7 +24,7 @@ def x6_normalise(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "earlier_texts").select("text_id", normalise(F.col("text")).alias("normal"))
 
 
-@BOOK.add("""
+@BOOK.add(r"""
 with p as (
   select snapshot_id, regexp_extract_all(regexp_replace(array_to_string(controllers, ', '), ',(\s*(?i:INC|INCORPORATED|LTD|LIMITED|LLC|LLP|PLC|GMBH|CORP|CORPORATION|PTY|PTE|SARL|SRL|BV|NV)\b)', chr(1) || '\1', 'g'), '(?:[(\[][^()\[\]]*[)\]]|[^,;\n\r])+') as ps
   from agreement_snapshots
