@@ -7,8 +7,7 @@ all fields (frequent values and frequent shapes are cheap, one-off text costs it
 each field keeps the parse that takes the fewest bits.
 
 A text that holds a delimiter has no code of its own where it is only a frequent company of
-values: where each of its parts also stands outside it.  A delimiter that is hardly ever part of
-a value costs bits where it does not divide.
+values: where each of its parts also stands outside it.
 """
 
 from __future__ import annotations
@@ -48,8 +47,10 @@ _DIGIT = re.compile(r"\d")
 #: the start of a value that no table knows.
 CHAR_BITS, DIGIT_BITS, KIND_BITS, ESCAPE_BITS = 4.7, math.log2(10), 1.0, 6.0
 
-#: Bits for each delimiter of these kinds that stands in a value, and for quotes that shield nothing.
-UNDIVIDED_BITS, STRONG = 40.0, frozenset(";|nt*")
+#: Delimiters of these kinds are no part of any value, so every dialect of a field that holds them
+#: divides at them; the others are tried with and without.
+STRONG = frozenset(";|nt*")
+#: Bits for quotes that shield nothing.
 BARE_QUOTE_BITS = 20.0
 
 #: A text with delimiters is a company of values if each part stands this often, and in this share
@@ -146,11 +147,11 @@ def parses(cell: str) -> list[tuple[Dialect, list[str], float]]:
     out = []
     for quotes in (True, False) if stray_quotes(cell) else (True,):
         found = cuts(cell, quotes)
-        kinds = sorted({k for _, _, k in found})
-        for n in range(len(kinds) + 1):
-            for d in map(frozenset, combinations(kinds, n)):
-                left = sum(k in STRONG and k not in d for _, _, k in found)
-                out.append(((quotes, d), parse(cell, found, d), KIND_BITS * n + UNDIVIDED_BITS * left + (0.0 if quotes else BARE_QUOTE_BITS)))
+        always = STRONG & {k for _, _, k in found}
+        weak = sorted({k for _, _, k in found} - always)
+        for n in range(len(weak) + 1):
+            for d in map(always.union, combinations(weak, n)):
+                out.append(((quotes, d), parse(cell, found, d), KIND_BITS * len(d) + (0.0 if quotes else BARE_QUOTE_BITS)))
     return out
 
 
