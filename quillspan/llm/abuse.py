@@ -65,6 +65,11 @@ class Scorer:
         self.patterns = [(name, lexicon.weights.get(name, w), kinds, gap) for name, w, kinds, gap in lexicon.patterns]
         #: Classes that say something where no other is near: without one of them nothing is looked at.
         self.telling = {kinds[0] for _, _, kinds, _ in lexicon.patterns if len(kinds) == 1} | {"mild", "mild noun", "taint", "lethal", "violent", "fate", "purge", "expel", "beast", "out", "violently"}
+        self.alarm = ahocorasick.Automaton()
+        for key, of in terms.items():
+            if any(kind in self.telling for kind, _ in of):
+                self.alarm.add_word(f" {key} ", True)
+        self.alarm.make_automaton()
         self.masked: dict[tuple[int, str, str], list[str]] = defaultdict(list)
         self.plain: set[str] = set()
         for kind in DISGUISED:
@@ -104,9 +109,9 @@ class Scorer:
         """(score, terms matched, patterns matched) of the worst stretch of one sentence."""
         words = self.folded(sentence)
         text = f" {' '.join(words)} "
-        found = list(self.machine.iter(text))
-        if not found:
+        if next(self.alarm.iter(text), None) is None:
             return 0.0, (), ()
+        found = list(self.machine.iter(text))
         hits, spans = [], []
         for end, (n, of) in found:
             last = text.count(" ", 0, end)  # words before the term's end
@@ -169,8 +174,11 @@ def score_documents(documents: DataFrame, text: str = "text", lexicon: Lexicon =
     def scored(texts: pd.Series) -> pd.DataFrame:
         if not made:
             made.append(Scorer(lexicon))
-        one_form = canonical_batch(pa.array(texts, pa.large_string(), from_pandas=True)).to_pylist()
-        rows = [made[0].document(t) if t else (0.0, 0, [], []) for t in one_form]
+        given = [t or "" for t in texts]
+        other = [i for i, t in enumerate(given) if not t.isascii()]  # ASCII is its own one form
+        for i, t in zip(other, canonical_batch(pa.array([given[i] for i in other], pa.large_string())).to_pylist() if other else [], strict=True):
+            given[i] = t
+        rows = [made[0].document(t) if t else (0.0, 0, [], []) for t in given]
         return pd.DataFrame(rows, columns=["abuse_score", "abusive_sentences", "abuse_terms", "abuse_patterns"])
 
     return documents.withColumn("__a", scored(F.col(text))).select("*", "__a.*").drop("__a").withColumn("abusive", F.col("abuse_score") >= THRESHOLD)
