@@ -38,8 +38,7 @@ select was as name, max_by(now, steps) as canonical, max(steps) as steps from wa
 def e1_alias_chain(spark: SparkSession, folder: str) -> DataFrame:
     """Chains of names followed to their end; a chain that returns to itself ends before it does.
 
-    The chains are followed by joins that double the distance walked; the number of rows stays
-    that of the names.
+    One step a round, at most MOST_STEPS; each name keeps a row for every step of its chain.
     """
     edges = renames(spark, folder).select("was", "now")
     edges.createOrReplaceTempView("__ren")

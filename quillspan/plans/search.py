@@ -114,7 +114,7 @@ def t5_prefix_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @BOOK.add(DOCS + f"select key from (select distinct key, t from (select key, unnest(ws) as w from num), (values {', '.join(f'({chr(39)}{t}{chr(39)})' for t in terms_of(QUERY_AND))}) q(t) where w = t or (length(t) >= 4 and starts_with(w, t))) group by key having count(*) = {len(terms_of(QUERY_AND))}")
 def j25_postings_and(spark: SparkSession, folder: str) -> DataFrame:
-    """The same conjunction by postings: the shards of the terms alone are read."""
+    """The same conjunction by postings: postings are made from the texts here, not read from a stored index."""
     terms = terms_of(QUERY_AND)
     p = postings(documents(spark, folder)).filter(F.col("shard").isin(*{t[0] for t in terms}))
     hit = lambda t: (F.col("word") == t) if len(t) < 4 else F.col("word").startswith(t)
