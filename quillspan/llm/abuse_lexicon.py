@@ -75,7 +75,7 @@ CLASSES = {
         "place without you|cleaner without|safer without|world without you|nobody would miss|no one would miss|noone would miss|would not miss|nobody loves|mistake of nature|"
         "do us all a favour|do everyone a favour|not even human|not human|less than human|barely human|hardly human|ashamed of you|ashamed to have|should have been drowned|"
         "never have been born|aborted|under your stone|under a stone|under your rock|under a rock|under the rock|makes me sick|make me sick|makes me want to vomit|"
-        "half a brain|half a mind|no brain|pea brain|pea sized brain|brain is smaller|brain of a|iq of|brain cell|brain cells|born stupid|thick as|dumb as|stupid as|ugly as|cleverer|count your own|count their own|count his own|count her own|tie their own|tie your own"
+        "half a brain|half a mind|no brain|pea brain|pea sized brain|brain of a|iq of|brain cell|brain cells|born stupid|thick as|dumb as|stupid as|ugly as|tie their own|tie your own"
     ),
     "too": "too thick to|too dumb to|too ugly to|too stupid to|too lazy to|too fat to",
     # hatred of groups
@@ -93,7 +93,7 @@ CLASSES = {
     "brute": "breed like|breeding like|by nature|born thieves|born liars|born criminals|born lazy|born stupid|dirty habits|never trust|cannot be trusted|inferior race|on purpose",
     "taint": (
         "spread disease|spreading disease|carry disease|carry diseases|spread diseases|stink|stinks|smell|pollute|infest|infesting|infested|ruin|ruining|invading|invade|swarm|swarming|"
-        "overrun|leeching|mouths to feed|one less mouth|taking over|not like us|not people like us|not one of us|filthy|crawled|half a brain"
+        "overrun|leeching|mouths to feed|taking over|not like us|not people like us|not one of us|filthy|crawled|half a brain"
     ),
     "should": "should be|should all be|must be|must all be|ought to be|need to be|needs to be|deserve to be|deserves to be|want them|have them|get them|should have been|should not be allowed to|should never be allowed to|be safer if|be better if",
     "purge": "sterilised|sterilized|gassed|exterminated|castrated|culled|put down|neutered|euthanised|euthanized|eradicated|wiped out|slaughtered|annihilated|purged|cleansed|rounded up|breed|reproduce|drowned at birth",
@@ -103,23 +103,25 @@ CLASSES = {
     "keep": "keep|send|throw|kick|get|drive|ship|sling",
     "out": "out of|out|away from|back to|back where",
     "refuse": (
-        "no surgery|no treatment|no medicine|no hospital|no doctor|no help|no beds|no bed|should treat|nobody should treat|refuse to treat|nobody should help|stop treating|not treat|not help|"
-        "not let|never let|would not let|wouldnt let|not want|does not want|do not want|nobody wants|no decent person|near my children|near my child|near our children|near my kids|near our kids|near my daughter|near our daughters"
+        "no treatment|no medicine|no hospital|no doctor|no help|no beds|no bed|should treat|nobody should treat|refuse to treat|nobody should help|stop treating|not treat|not help|"
+        "not let|never let|would not let|wouldnt let|not want|does not want|do not want|nobody wants|near my children|near my child|near our children|near my kids|near our kids|near my daughter|near our daughters"
     ),
-    "shun": "let them rot|let em rot|let them die|let them starve|die of it|dies of it|one less|one fewer|near my children|near our children|near my kids|near our kids|near my daughter|not people|wants them|wants him|wants her|animals|thieves|rot|in the waiting room|die first|good riddance|like us",
+    "shun": "let them rot|let em rot|let them die|let them starve|one less|one fewer|near my children|near our children|near my kids|near our kids|near my daughter|not people|animals|thieves|rot|die first|good riddance|like us",
+    "none": "no|deny|refuse|stop|cancel|withhold",
+    "care": "surgery|surgeries|treatment|treatments|medicine|medicines|operation|operations|doctor|doctors|hospital|nurse|nurses|care|help|bed|beds|transplant|transplants|vaccine|vaccines",
     "only": "the only good|only good thing|good thing about|best thing about|finally some good|at least",
     # sexually explicit language
     "explicit": (
         "blowjob|blowjobs|blow job|blow jobs|handjob|handjobs|my cock|his cock|your cock|big cock|hard cock|thick cock|cocks|dick pic|dick pics|pussy|pussies|tits|titties|tities|horny|cum|cumming|cumshot|deepthroat|threesome|gangbang|creampie|porn|porno|"
         "milf|milfs|dildo|orgy|orgies|masturbate for|masturbating|jerk off|jerking off|fuck me|fuck her|fuck him|fuck my|fucked me|fucked her|fucked him|fucking her|fucking me|suck my|sucked my|sucking my|"
         "suck your|sucked his|lick my|lick your|licked her|ride me|rode his|rode my|ride his|nudes|nude pics|naked pics|dirty pics|naked girls|nude girls|sexy girls|hot girls|sex cam|sex cams|"
-        "live sex|amateur sex|anal sex|rough sex|hardcore|xxx|want to fuck|wants to fuck|wanna fuck|hard for you|wet for you|inside her|inside me|moaned|moaning|begged him not to stop|begged her not to stop|"
+        "live sex|amateur sex|anal sex|rough sex|hardcore|xxx|want to fuck|wants to fuck|wanna fuck|hard for you|wet for you|inside her|inside me|moaned|moaning|"
         "bend you over|bending you over|bent her over|bent him over|screw her|screw him|screw me|shag me|shag her|shag you|quick shag|a shag|fancy a shag|boobs|busty|clit|erect cock|hard cock|wet pussy|came inside|both came|stripper|escorts|"
         "big boobs|tight ass|sexy babes|babes|xxx videos|sex tape|sex video|sex videos|filthy videos|dirty videos"
     ),
     "sensual": (
         "cock|knickers|panties|naked|thrust|thrusting|climax|tongue|undressed|nipples|thighs|orgasm|erection|dripping wet|wet|aroused|shag|shagging|uncensored|adults only|strip|strips|stripped|on cam|webcam|sexy|"
-        "filthy|climbed on top|on top of me|harder|lust|seduce|pleasure you|touch myself|touching myself|bed with me|slid inside|his lap|bare breasts|kinky|hot singles|no strings|text me|no questions asked|in bed|sucking|licking|stroking|groped|amateur|bra|girls|click|near you|moan|keep thinking about|leave my"
+        "filthy|on top of me|harder|lust|seduce|pleasure you|touch myself|touching myself|bed with me|his lap|bare breasts|kinky|hot singles|no strings|in bed|sucking|licking|stroking|groped|amateur|bra|girls|moan"
     ),
 }
 
@@ -168,6 +170,7 @@ PATTERNS = (
     ("refuse group", 0.6, ("refuse", "group"), 6),
     ("refuse", 0.3, ("refuse",), 0),
     ("shun", 0.5, ("shun",), 0),
+    ("care shun", 0.6, ("none", "care", "shun"), 12),
     ("refuse shun", 0.7, ("refuse", "shun"), 14),
     ("only fate", 1.1, ("only", "fate"), 14),
     ("explicit", 1.1, ("explicit",), 0),
